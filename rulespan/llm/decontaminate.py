@@ -15,6 +15,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Arrays are exploded by explode_outer() where their expression is large: for explode(), Spark would
+# add a filter on the array's size and push it below the columns that the expression uses, and so
+# compute these again for every element.
+
 SHINGLE = 5
 RADIUS, NEAR = 11, 2
 BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 15))
@@ -93,7 +97,7 @@ def item_parts(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     rows = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col).cast("string")).alias("w")).where(F.size("w") >= SHINGLE)
     n = F.size("w")
     starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PART_WORDS).cast("int")), lambda k: F.greatest(F.lit(0), F.least(k * PART_WORDS, n - PART_WORDS))))
-    parts = rows.withColumn("at", F.explode(starts)).select("item_id", _hashes(F.slice("w", F.col("at") + 1, F.lit(PART_WORDS))).alias("h"))
+    parts = rows.withColumn("at", F.explode_outer(starts)).select("item_id", _hashes(F.slice("w", F.col("at") + 1, F.lit(PART_WORDS))).alias("h"))
     return parts.select("item_id", F.size("h").alias("m"), _shingles(F.col("h")).alias("shingles"), "h").distinct()
 
 
@@ -115,7 +119,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, at_least:
 
     # Shared shingles: one row for each place of a document and size of item.
     wanted = _small(parts.select("m", F.explode("shingles").alias("x")).distinct())
-    places = hashed(keyed).select("doc_id", "key", F.posexplode("s").alias("pos", "x"))
+    places = hashed(keyed).select("doc_id", "key", F.posexplode_outer("s").alias("pos", "x"))
     seeds = places.join(wanted, "x").groupBy(F.col("doc_id").alias("seed_doc"), F.col("key").alias("seed_key"), "m").agg(F.collect_set("pos").alias("seeds"))
 
     full = hashed(keyed.join(seeds, F.col("doc_id").eqNullSafe(F.col("seed_doc")) & (F.col("key") == F.col("seed_key"))).drop("seed_doc", "seed_key"))
@@ -124,11 +128,11 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, at_least:
     starts = F.flatten(F.transform("seeds", lambda p: F.sequence(F.greatest(F.lit(0), F.least(p - m + SHINGLE, n - m)), F.greatest(F.lit(0), F.least(p, n - m)))))
     counters = [F.col(f"c{k}") for k in range(9)]
     window = F.transform(F.array_distinct(starts), lambda at: F.struct(at.alias("start"), F.slice("s", at + 1, m - SHINGLE + 1).alias("window"), _fingerprint(counters, at, m).alias("fp")))
-    windows = full.withColumn("w", F.explode(window)).select("doc_id", "m", "w.start", "w.window", "w.fp")
+    windows = full.withColumn("w", F.explode_outer(window)).where("w is not null").select("doc_id", "m", "w.start", "w.window", "w.fp")
 
     item = parts.select("item_id", F.col("m").alias("item_m"), F.col("shingles").alias("item_shingles"), _fingerprint([_counters(F.col("h"), k) for k in range(9)], F.lit(0), F.col("m")).alias("item_fp"))
     near = F.flatten(F.array(*[_neighbours(k, block, size) for k, (block, (_, size)) in enumerate(zip(_blocks(F.col("item_fp")), BLOCKS, strict=True))]))
-    lookup = _small(item.select("item_m", "item_fp").distinct().withColumn("e", F.explode(near)).select("item_m", "item_fp", "e.block", "e.value"))
+    lookup = _small(item.select("item_m", "item_fp").distinct().withColumn("e", F.explode_outer(near)).select("item_m", "item_fp", "e.block", "e.value"))
 
     probes = windows.withColumn("e", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), b.alias("value")) for k, b in enumerate(_blocks(F.col("fp")))])))
     met = probes.select("doc_id", F.col("m").alias("item_m"), "start", "window", "fp", "e.block", "e.value").join(lookup, ["block", "value", "item_m"])

@@ -115,7 +115,7 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
     # What stands between candidates gives their places and neighbours.
     rows = rows.withColumn("gaps", F.split("text", CANDIDATE, -1))
-    rows = rows.select("doc_id", "found", "gaps", F.posexplode(F.arrays_zip("found", F.slice("gaps", F.lit(1), F.size("found")).alias("gap"))).alias("place", "z"))
+    rows = rows.select("doc_id", "found", "gaps", F.posexplode_outer(F.arrays_zip("found", F.slice("gaps", F.lit(1), F.size("found")).alias("gap"))).alias("place", "z"))
     lengths = lambda a: F.aggregate(F.slice(a, F.lit(1), F.col("place")), F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     gap, following = F.get("gaps", F.col("place")), F.get("gaps", F.col("place") + 1)
     return rows.select(
