@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records' date where the capture has none.
@@ -56,14 +58,18 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("url", F.regexp_replace("url", r"[\x00-\x20\x7f]", "")).withColumn("digest", sha1_base32(F.col("body"))).withColumn("bytes", F.octet_length("body").cast("long"))
-    # Row numbers make records of repeated rows differ; the input's partitions fix them.
-    rows = rows.withColumn("row", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.monotonically_increasing_id().cast("string")))
+    page = F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    if rows.groupBy("id", "digest").count().where("count > 1").take(1):
+        # Rows that repeat an id and payload need numbers, and these must stay as they are: a written table.
+        rows = Scratch(pages.sparkSession, "warc-rows").put(rows.withColumn("row", F.concat_ws(":", page, "digest", F.monotonically_increasing_id().cast("string"))), "rows")
+    else:
+        rows = rows.withColumn("row", F.concat_ws(":", page, "digest"))
     newest = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("k"), "row")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = rows.join(newest.drop("n"), ["digest", "bytes"], "left")
     revisit = F.col("top").isNotNull() & (F.coalesce("id", F.lit(-(2**63))) < F.col("top.k"))
 
     key = F.col("row")
-    response, page = _urn("response", key), F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    response = _urn("response", key)
     target = F.concat(F.lit("WARC-Target-URI: "), F.col("url"), F.lit("\r\n"))
     own = F.concat(F.lit("X-Capture-Key: "), page, F.lit("\r\n"))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\n"))
