@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,20 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED_DIR).rstrip("/")
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no plan needs any more; it does so when their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Written tables in the shared folder, used to cut lineage.
 
     Tables live in replicated storage, not on executors, so that losing an executor costs one
-    task and not the rounds before it.
+    task and not the rounds before it. With ``release``, the shuffle files that led to a table are
+    given up once it is written.
     """
 
-    def __init__(self, spark: SparkSession, name: str = "scratch"):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str = "scratch", release: bool = False):
+        self.spark, self.release = spark, release
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and reads it again."""
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        if self.release:
+            release_shuffles(self.spark)
         return self.get(name, df)
 
     def get(self, name: str, like: DataFrame) -> DataFrame:
