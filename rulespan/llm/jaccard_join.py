@@ -122,7 +122,7 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
     repeat an id count as rows of their own. Columns not named are ignored; an empty table gives none.
     """
     sim = Similarity(at_least)
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(spark, "jaccard", release=True)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +196,9 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                     names=["sig", "n", "bits", "shingles"],
                 )
 
-    nameless = source.where("doc_id is null and text is not null").select("text")
+    nameless = source.where("doc_id is null and text is not null").select("text").distinct()
     chosen = source.join(wanted, "doc_id", "left_semi").select("text").unionByName(nameless)
-    held = scratch.put(chosen.mapInArrow(sets, "sig long, n long, bits binary, shingles binary").dropDuplicates(["sig"]), "sets")
+    held = scratch.put(chosen.mapInArrow(sets, "sig long, n long, bits binary, shingles binary"), "sets")
     size, body = held.select("sig", "n", "bits"), held.select("sig", "shingles")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
