@@ -4,8 +4,8 @@ Seeds are winnowed anchors (Schleimer et al., 2003): of every run of GRAM-word g
 ``min_words`` words holds, the least hash. Equal windows have equal anchors, so documents are joined
 on anchors first, and only around anchors that occur more than once are matches extended both ways,
 to all windows over the anchor. A match is kept where it reaches ``min_words``; neighbouring windows
-that match make up a maximal repeat. Windows are told apart by 128 bits (their own hash and their
-anchor's).
+that match make up a maximal repeat. Windows are told apart by 96 bits (their own hash and half of
+their anchor's).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from . import _text
 
 GRAM = 6
@@ -77,9 +78,12 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(_text.signed(anchors[first])), pa.array(keys[a:b][t]), pa.array(ids[a:b][t])], names=["anchor", "key", "doc_id"])
 
     usable = keyed.where("doc_id is not null and text is not null").select("key", "doc_id", "text")
-    found = usable.mapInArrow(seeds, "anchor long, key long, doc_id long")
+    # Each step is written, so that it is computed once and what it shuffled can be given up.
+    scratch = Scratch(docs.sparkSession, "repeats", release=True)
+    found = scratch.put(usable.mapInArrow(seeds, "anchor long, key long, doc_id long"), "anchors")
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    seeded = found.join(often, "anchor", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors"))
+    seeded = scratch.put(found.join(often, "anchor", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors")), "seeded")
+    scratch.drop("anchors")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,14 +107,16 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
                 first = _first(text, values)
                 t = text[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_text.signed(values[first])), pa.array(_text.signed(anchors[first])), pa.array(keys[a:b][t]), pa.array(ids[a:b][t]), pa.array((at[first] - ends[:-1][t]).astype(np.int32))],
-                    names=["window", "anchor", "key", "doc_id", "start"],
+                    [pa.array(_text.signed(values[first])), pa.array(_text.signed(anchors[first]).astype(np.int32)), pa.array(keys[a:b][t]), pa.array(ids[a:b][t]), pa.array((at[first] - ends[:-1][t]).astype(np.int32))],
+                    names=["window", "check", "key", "doc_id", "start"],
                 )
 
     matched = keyed.join(seeded, ["doc_id", "key"]).select("key", "doc_id", "text", "anchors")
-    windows = matched.mapInArrow(extend, "window long, anchor long, key long, doc_id long, start int")
-    earliest = windows.groupBy("window", "anchor").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
-    later = windows.join(earliest, ["window", "anchor"]).where("doc_id > first_id").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
+    windows = scratch.put(matched.mapInArrow(extend, "window long, check int, key long, doc_id long, start int"), "windows")
+    earliest = windows.groupBy("window", "check").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    later = windows.join(earliest, ["window", "check"]).where("doc_id > first_id").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
+    later = scratch.put(later, "later")
+    scratch.drop("windows")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
