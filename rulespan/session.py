@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only when the session names no shared folder, as in tests.
 FALLBACK_SHARED_DIR = "/tmp/rulespan-shared"
+#: Whether Spark deletes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(name: str = "rulespan", cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -31,18 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED_DIR).rstrip("/")
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that no plan needs any more; it does so when their handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 class Scratch:
     """Written tables in the shared folder, used to cut lineage.
 
     Tables live in replicated storage, not on executors, so that losing an executor costs one
     task and not the rounds before it. With ``release``, the shuffle files that led to a table are
-    given up once it is written.
+    deleted once it is written; nothing else can read them.
     """
 
     def __init__(self, spark: SparkSession, name: str = "scratch", release: bool = False):
@@ -51,9 +46,13 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and reads it again."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        if self.release:
-            release_shuffles(self.spark)
+        held = self.spark.conf.get(CLEANUP)
+        try:
+            if self.release:
+                self.spark.conf.set(CLEANUP, "true")
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        finally:
+            self.spark.conf.set(CLEANUP, held)
         return self.get(name, df)
 
     def get(self, name: str, like: DataFrame) -> DataFrame:
