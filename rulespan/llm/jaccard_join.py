@@ -21,7 +21,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -141,11 +141,12 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                         pa.array([*np.diff(cut).tolist(), *times.tolist()], pa.int64()),
                         pa.concat_arrays([pa.array(sigs, pa.int64()), pa.array(_text.signed(frequent))]),
                         pa.array([True] * (b - a) + [False] * k),
+                        pa.array([bitmap(values[cut[i] : cut[i + 1]]).tobytes() if cut[i + 1] > cut[i] else None for i in range(b - a)] + [None] * k, pa.binary()),
                     ],
-                    names=["doc_id", "n", "sig", "is_doc"],
+                    names=["doc_id", "n", "sig", "is_doc", "bits"],
                 )
 
-    seen = scratch.put(source.mapInArrow(survey, "doc_id long, n long, sig long, is_doc boolean"), "survey")
+    seen = scratch.put(source.mapInArrow(survey, "doc_id long, n long, sig long, is_doc boolean, bits binary"), "survey")
     members = seen.where("is_doc").select("doc_id", "n", "sig")
     common = seen.where("not is_doc").groupBy("sig").agg(F.sum("n").alias("n")).where(f"n >= {COMMON}").orderBy(F.desc("n"), "sig").limit(COMMON_KEPT)
     last = spark.sparkContext.broadcast(_array(common, "sig"))
@@ -177,13 +178,11 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                     yield pa.RecordBatch.from_arrays([pa.array(_text.signed(np.concatenate(tokens))), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(bands))], names=["token", "sig", "band"])
 
     given = source.where("text is not null").select("text").mapInArrow(prefixes, "token long, sig long, band int")
-    dealt = given.repartition("token")
-    shared = dealt.groupBy("token").agg(F.min("sig").alias("head"), F.max("sig").alias("tail")).where("head < tail").select("token", "head")
-    tiles = scratch.put(dealt.join(shared, "token").distinct(), "tiles")
+    tile = Window.partitionBy("token")
+    shared = given.withColumns({"head": F.min("sig").over(tile), "tail": F.max("sig").over(tile)}).where("head < tail").drop("tail")
+    tiles = scratch.put(shared.distinct(), "tiles")
 
-    # The sets that meet any other, by their least document.
     owner = members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    wanted = tiles.select("sig").distinct().join(owner, "sig").select("doc_id").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,14 +191,14 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                 values, cut = shingle_sets(texts[a:b], words)
                 full = [values[cut[i] : cut[i + 1]] for i in range(b - a) if cut[i] < cut[i + 1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([signature(v) for v in full], pa.int64()), pa.array(list(map(len, full)), pa.int64()), pa.array([bitmap(v).tobytes() for v in full], pa.binary()), pa.array([v.tobytes() for v in full], pa.binary())],
-                    names=["sig", "n", "bits", "shingles"],
+                    [pa.array([signature(v) for v in full], pa.int64()), pa.array([v.tobytes() for v in full], pa.binary())],
+                    names=["sig", "shingles"],
                 )
 
-    nameless = source.where("doc_id is null and text is not null").select("text").distinct()
-    chosen = source.join(wanted, "doc_id", "left_semi").select("text").unionByName(nameless)
-    held = scratch.put(chosen.mapInArrow(sets, "sig long, n long, bits binary, shingles binary"), "sets")
-    size, body = held.select("sig", "n", "bits"), held.select("sig", "shingles")
+    # What bounds the overlap of the sets that meet any other.
+    met = tiles.select("sig").distinct()
+    size = seen.where("is_doc").join(met, "sig", "left_semi").select("sig", "n", "bits").dropDuplicates(["sig"])
+    size = scratch.put(size, "sizes")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,13 +217,21 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col("sig").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in df.columns[1:]])
 
-    def decide(pairs: DataFrame) -> DataFrame:
+    def decide(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that link. Sorted arrays are made only for sets of pairs that the bound left, from their least document."""
+        pairs = scratch.put(pairs, f"{name}-bounded")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(owner, "sig").select("doc_id").distinct()
+        nameless = source.where("doc_id is null and text is not null").select("text").distinct()
+        chosen = source.join(wanted, "doc_id", "left_semi").select("text").unionByName(nameless)
+        body = scratch.put(chosen.mapInArrow(sets, "sig long, shingles binary"), f"{name}-sets")
         full = pairs.join(side(body, "a"), "a").join(side(body, "b"), "b").select("a", "b", "a_shingles", "b_shingles")
-        return full.mapInArrow(decided, "a long, b long")
+        linked = scratch.put(full.mapInArrow(decided, "a long, b long").distinct(), name)
+        scratch.drop(f"{name}-sets")
+        return linked
 
     star = tiles.where("sig <> head").select(F.col("sig").alias("b"), F.col("head").alias("a")).distinct()
     star = star.join(side(size, "a"), "a").join(side(size, "b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits").mapInArrow(bounded, "a long, b long")
-    links = scratch.put(decide(star), "star")
+    links = decide(star, "star")
     joined = scratch.put(connected_components(spark, links), "joined")
 
     # Tiles whose sets are still apart: each pair of bands and parts is one tile of bounded size.
@@ -270,13 +277,13 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
 
     left_over = lanes.select("token", "band", "i", "j", "right", "sig", "root", "n", "bits").mapInArrow(compare, "a long, b long").distinct()
-    more = scratch.put(decide(left_over), "more")
+    more = decide(left_over, "more")
     roots = scratch.put(connected_components(spark, links.unionByName(more)), "roots") if more.take(1) else joined
 
     final = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     final = final.withColumn("root", F.when(F.col("sig").isNotNull(), F.col("root")))
     least = final.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = final.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
-    for name in ("tiles", "sets"):
+    for name in ("tiles", "sizes"):
         scratch.drop(name)
     return out
