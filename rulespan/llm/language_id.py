@@ -82,6 +82,6 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
             accepted = [n != UNDETERMINED and (s >= min_margin or few) for (n, s), few in zip(found, short, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=[*batch.schema.names[1:], "lang_pred", "score", "accepted"])
 
-    source = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep])
+    source = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep if c != "doc_id"])
     schema = source.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
     return source.mapInArrow(task, schema)
