@@ -6,16 +6,19 @@ The order here takes shingles that many documents share last, so that a passage
 brings no tiles. Within a tile, hashed bitmaps bound the overlap of two sets from above by bit
 counts; pairs that the bound leaves are decided by intersecting the sorted arrays.
 
-Classes of equal sets are held once. Each tile's sets are first compared with the tile's least one
-only; what these links join needs no further comparison in the tile. Sets of one tile that are still
-apart are compared pair by pair, in tiles of bounded size, so no link between different sets is lost,
-though links inside a component need not all be listed.
+Classes of equal sets are held once, and so are tiles with the same sets (a passage of many words brings
+many of these): equal tiles have equal pairs. Each tile's sets are first compared with the tile's least
+one only; what these links join needs no further comparison in the tile. Sets of one tile that are still
+apart are compared pair by pair, in tiles of bounded size: first a few pairs between any two components,
+which joins most of those that are one, then all pairs that are left. So no link between different sets
+is lost, though links inside a component need not all be listed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import partial
 from math import ceil
 
 import numpy as np
@@ -31,6 +34,10 @@ from . import _text
 WORDS = 5
 #: Rows on each side of a tile.
 TILE = 512
+#: Pairs between two components that each task of the first of two such rounds gives on.
+FEW = 4
+#: Pairs that a task remembers at most; others may be given again, from another tile.
+PAIRS_KEPT = 1_000_000
 #: A shingle in so many documents of one slice is reported; so many in all make it common.
 REPORTED, COMMON = 3, 24
 #: Common shingles that are put last at most. Any order gives the same links; others stay in place.
@@ -61,8 +68,8 @@ def signature(values: np.ndarray) -> int:
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """A bit for each shingle, in two to four times as many bits as there are shingles; as bytes."""
-    bits = 64 << max(0, (2 * len(values) - 1).bit_length() - 6)
+    """A bit for each shingle, in four to eight times as many bits as there are shingles; as bytes."""
+    bits = 64 << max(0, (4 * len(values) - 1).bit_length() - 6)
     out = np.zeros(bits, np.uint8)
     out[(values & _text.U64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little")
@@ -178,9 +185,14 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                     yield pa.RecordBatch.from_arrays([pa.array(_text.signed(np.concatenate(tokens))), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(bands))], names=["token", "sig", "band"])
 
     given = source.where("text is not null").select("text").mapInArrow(prefixes, "token long, sig long, band int")
+    # A tile's sets are summed up in 128 bits, so that of tiles with the same sets one is kept.
     tile = Window.partitionBy("token")
-    shared = given.withColumns({"head": F.min("sig").over(tile), "tail": F.max("sig").over(tile)}).where("head < tail").drop("tail")
-    tiles = scratch.put(shared.distinct(), "tiles")
+    sets_of = {"x": F.bit_xor(F.xxhash64("sig")), "y": F.bit_xor(F.xxhash64("sig", F.lit(1))), "size": F.count(F.lit(1))}
+    shared = given.repartition("token").distinct().withColumns({name: f.over(tile) for name, f in sets_of.items()}).where("size > 1")
+    every = scratch.put(shared, "every")
+    one = scratch.put(every.groupBy("x", "y", "size").agg(F.min("token").alias("token")).select("token"), "one")
+    tiles = scratch.put(every.join(one, "token", "left_semi").select("token", "sig", "band"), "tiles")
+    scratch.drop("every")
 
     owner = members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
 
@@ -229,41 +241,80 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
         scratch.drop(f"{name}-sets")
         return linked
 
-    star = tiles.where("sig <> head").select(F.col("sig").alias("b"), F.col("head").alias("a")).distinct()
+    hubs = scratch.put(tiles.groupBy("token").agg(F.min("sig").alias("hub")), "hubs")
+    star = tiles.join(hubs, "token").where("sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct()
     star = star.join(side(size, "a"), "a").join(side(size, "b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits").mapInArrow(bounded, "a long, b long")
     links = decide(star, "star")
     joined = scratch.put(connected_components(spark, links), "joined")
 
-    # Tiles whose sets are still apart: each pair of bands and parts is one tile of bounded size.
-    apart = tiles.join(joined.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    mixed = apart.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("token", F.ceil(F.col("rows") / TILE).cast("int").alias("parts"))
-    rows = apart.join(mixed, "token").select("token", "sig", "root", "band", "parts").withColumn("part", F.pmod(F.xxhash64("sig", "token"), F.col("parts")).cast("int"))
-    # A set stands in its own band's tile, and in the next band's as the smaller side.
-    rows = rows.withColumn("low", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("low"))
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    # Parts i of the larger side meet parts j of either.
-    rows = rows.withColumn("other", F.explode(others))
-    rows = rows.withColumn("i", F.when(F.col("low") == 0, F.col("part")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("low") == 0, F.col("other")).otherwise(F.col("part")))
-    own_too = rows.where("low = 0 and other < part").select("token", "sig", "root", "band", "low", F.col("other").alias("i"), F.col("part").alias("j"), F.lit(True).alias("right"))
-    rows = rows.select("token", "sig", "root", "band", "low", "i", "j", (F.col("low") == 1).alias("right")).unionByName(own_too)
-    filled = rows.join(size.select("sig", "n", "bits"), "sig")
-    lanes = filled.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j", "right")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of one tile that the bound leaves, between sets that are still apart."""
+    def in_tiles(joined: DataFrame, name: str) -> DataFrame:
+        """Rows of the tiles whose sets are still apart; each pair of bands and parts is one tile of bounded size."""
+        rows = tiles.join(joined.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        # A set stands in its own band's tile, and in the next band's as the smaller side.
+        rows = rows.withColumn("low", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("low")).select("token", "band", "low", "sig", "root")
+        rows = scratch.put(rows, f"{name}-apart")
+        mixed = rows.groupBy("token", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("low").alias("side"), F.count(F.lit(1)).alias("rows"))
+        mixed = scratch.put(mixed.where("lo < hi and side = 0").select("token", "band", F.ceil(F.col("rows") / TILE).cast("int").alias("parts")), f"{name}-mixed")
+        rows = rows.join(mixed, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("sig", "token"), F.col("parts")).cast("int"))
+        others = F.sequence(F.lit(0), F.col("parts") - 1)
+        # Parts i of the larger side meet parts j of either.
+        rows = rows.withColumn("other", F.explode(others))
+        rows = rows.withColumn("i", F.when(F.col("low") == 0, F.col("part")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("low") == 0, F.col("other")).otherwise(F.col("part")))
+        own_too = rows.where("low = 0 and other < part").select("token", "sig", "root", "band", "low", F.col("other").alias("i"), F.col("part").alias("j"), F.lit(True).alias("right"))
+        rows = rows.select("token", "sig", "root", "band", "low", "i", "j", (F.col("low") == 1).alias("right")).unionByName(own_too)
+        filled = rows.join(size.select("sig", "n", "bits"), "sig")
+        lanes = filled.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j", "right")
+        return lanes.select("token", "band", "i", "j", "right", "sig", "root", "n", "bits")
+
+    def compare(batches: Iterator[pa.RecordBatch], few: int | None = None) -> Iterator[pa.RecordBatch]:
+        """Pairs of one tile that the bound leaves, between sets that are still apart; with ``few``, only so many of two components."""
         tile, left, right = None, [], []
+        given: set[tuple[int, int]] = set()
+        between: dict[tuple[int, int], int] = {}
+
+        def wanted(p: int, q: int) -> bool:
+            if few is None:
+                return True
+            key = (p, q) if p < q else (q, p)
+            between[key] = between.get(key, 0) + 1
+            return between[key] <= few
+
+        def blocks(rows: list) -> list[tuple[np.ndarray, ...]]:
+            """Rows of equally long bitmaps, side by side."""
+            by: dict[int, list] = {}
+            for row in rows:
+                by.setdefault(len(row[3]), []).append(row)
+            return [(*(np.array([r[k] for r in rs], np.int64) for k in range(3)), np.stack([r[3] for r in rs]).view(_text.U64)) for rs in by.values()]
+
+        def against(x: tuple, block: tuple[np.ndarray, ...], above: int | None = None) -> list[int]:
+            """The sets of a block that may link with x and are apart from it."""
+            sigs, roots, n, bits = block
+            on = np.flatnonzero((roots != x[1]) & (np.minimum(n, x[2]) * (sim.den + sim.num) >= sim.num * (n + x[2])))
+            if above is not None:
+                on = on[sigs[on] > above]
+            if not len(on):
+                return []
+            own, bits, n = x[3].view(_text.U64), bits[on], n[on]
+            own = _fold(own, bits.shape[1])
+            while bits.shape[1] > len(own):
+                half = bits.shape[1] // 2
+                bits = bits[:, :half] | bits[:, half:]
+            most = np.minimum(n - np.bitwise_count(bits & ~own).sum(1, dtype=np.int64), x[2] - np.bitwise_count(own & ~bits).sum(1, dtype=np.int64))
+            on = on[most * (sim.den + sim.num) >= sim.num * (n + x[2])]
+            return [y for y, root in zip(sigs[on].tolist(), roots[on].tolist(), strict=True) if wanted(x[1], root)]
 
         def pairs() -> list[tuple[int, int]]:
-            out = []
             same = tile is not None and tile[2] == tile[3]
-            for k, x in enumerate(left):
-                for y in left[k + 1 :] if same else []:
-                    if x[1] != y[1] and sim.linked(min(x[2], y[2]), x[2], y[2]):
-                        out.append((x, y))
-                for y in right:
-                    if x[1] != y[1] and sim.linked(min(x[2], y[2]), x[2], y[2]):
-                        out.append((x, y))
-            return [(min(x[0], y[0]), max(x[0], y[0])) for x, y in out if sim.linked(bound(x[2], x[3], y[2], y[3]), x[2], y[2])]
+            inner, outer = blocks(left) if same else [], blocks(right) if left else []
+            # Of pairs inside a tile each is met from both sides; the one with the lesser set first counts.
+            out = [(x[0], y) for x in left for block in inner for y in against(x, block, x[0])]
+            return out + [(min(x[0], y), max(x[0], y)) for x in left for block in outer for y in against(x, block)]
+
+        def listed(found: set[tuple[int, int]]) -> pa.RecordBatch:
+            found -= given
+            if len(given) < PAIRS_KEPT:
+                given.update(found)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
 
         for batch in batches:
             found: set[tuple[int, int]] = set()
@@ -272,13 +323,15 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                     found.update(pairs())
                     tile, left, right = (token, band, i, j), [], []
                 (right if is_right else left).append((sig, root, n, np.frombuffer(bits, np.uint8)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
-        found = pairs()
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
-
-    left_over = lanes.select("token", "band", "i", "j", "right", "sig", "root", "n", "bits").mapInArrow(compare, "a long, b long").distinct()
-    more = decide(left_over, "more")
-    roots = scratch.put(connected_components(spark, links.unionByName(more)), "roots") if more.take(1) else joined
+            yield listed(found)
+        yield listed(set(pairs()))
+
+    for name, few in (("few", FEW), ("all", None)):
+        left_over = in_tiles(joined, name).mapInArrow(partial(compare, few=few), "a long, b long").distinct()
+        links = links.unionByName(decide(left_over, name))
+        joined = scratch.put(connected_components(spark, links), f"joined-{name}")
+        scratch.drop(f"{name}-apart")
+    roots = joined
 
     final = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     final = final.withColumn("root", F.when(F.col("sig").isNotNull(), F.col("root")))
