@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,26 +11,15 @@ import xxhash
 
 #: Texts of about so many bytes are taken at a time; a longer text is taken alone.
 SLICE_BYTES = 3_000_000
-#: Words that a worker remembers at most; others are hashed again.
-REMEMBERED = 400_000
+#: Bytes whose words are hashed at once.
+BLOCK_BYTES = 1 << 19
+#: Longer words are hashed one by one.
+LONG_WORD = 32
 
 U64 = np.uint64
 _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, kept for frequent words."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < REMEMBERED:
-            self[word] = h
-        return h
-
-
-_hashes = WordHashes()
-
-
 def column(batch: pa.RecordBatch, k: int = 0) -> list[bytes | None]:
     """A string column as bytes."""
     return batch.column(k).cast(pa.large_binary() if pa.types.is_large_string(batch.column(k).type) else pa.binary()).to_pylist()
@@ -48,18 +38,42 @@ def by_bytes(texts: list[bytes | None], limit: int = SLICE_BYTES) -> Iterator[tu
         yield start, len(texts)
 
 
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A value for each byte, the powers of an odd base, those of its inverse, and which bytes are white space."""
+    base = 0xD6E8FEB86659FD93
+    powers = [np.multiply.accumulate(np.concatenate([[U64(1)], np.full(BLOCK_BYTES, x, U64)])) for x in (base, pow(base, -1, 1 << 64))]
+    space = np.zeros(256, bool)
+    space[[0x20, *range(0x09, 0x0E)]] = True
+    return mixed(np.arange(1, 257, dtype=U64) * _MULTIPLIER), *powers, space
+
+
 def hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """All words' hashes in a row, and where each text's words begin (and the last one's end).
 
-    Words are runs of bytes other than space, tab, LF, VT, FF and CR.
+    Words are runs of bytes other than space, tab, LF, VT, FF and CR. A word's hash is the polynomial of
+    its bytes' values, read off running sums over a block; longer words are hashed by xxhash.
     """
-    words: list[bytes] = []
-    ends = [0]
-    for t in texts:
-        if t:
-            words += t.split()
-        ends.append(len(words))
-    return np.fromiter(map(_hashes.__getitem__, words), U64, len(words)), np.array(ends, np.int64)
+    values, powers, inverse, space = _powers()
+    joined = b" ".join([t or b"" for t in texts]) + b" "
+    data = np.frombuffer(joined, np.uint8)
+    edge = np.flatnonzero(np.diff(~space[data], prepend=False, append=False))
+    start, stop = edge[::2], edge[1::2]
+    out = np.empty(len(start), U64)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(stop, start[lo] + BLOCK_BYTES, "right")))
+        first, n = start[lo], int(stop[hi - 1] - start[lo])
+        if n <= BLOCK_BYTES:  # else it is one long word
+            sums = np.zeros(n + 1, U64)
+            np.cumsum(values[data[first : first + n]] * powers[:n], out=sums[1:])
+            at, to = start[lo:hi] - first, stop[lo:hi] - first
+            out[lo:hi] = mixed((sums[to] - sums[at]) * inverse[at] + (to - at).astype(U64) * _MULTIPLIER)
+        lo = hi
+    for i in np.flatnonzero(stop - start > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(joined[start[i] : stop[i]])
+    ends = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+    return out, np.searchsorted(start, ends)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -47,19 +47,19 @@ COMMON_KEPT = 300_000
 def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text in a row, and where each set begins (and the last ends)."""
     h, ends = _text.hashed([t.lower() if t else t for t in texts])
-    at, text = _text.places(ends, words)
-    values = _text.grams(h, words, 5)[at] if len(at) else np.empty(0, _text.U64)
     lengths = np.diff(ends)
-    short = np.flatnonzero((lengths > 0) & (lengths < words))
-    if len(short):  # fewer words make one shingle
-        whole = np.array([xxhash.xxh3_64_intdigest(h[ends[i] : ends[i + 1]].tobytes(), seed=int(lengths[i])) for i in short], _text.U64)
-        values, text = np.concatenate([values, whole]), np.concatenate([text, short])
-    order = np.lexsort((values, text))
-    values, text = values[order], text[order]
+    counts = np.where(lengths < words, np.minimum(lengths, 1), lengths - words + 1)
+    cut = np.concatenate([[0], np.cumsum(counts)])
+    values, grams = np.empty(cut[-1], _text.U64), _text.grams(h, words, 5)
+    for a, b, first, n in zip(cut[:-1].tolist(), cut[1:].tolist(), ends[:-1].tolist(), lengths.tolist(), strict=True):
+        if n >= words:
+            values[a:b] = np.sort(grams[first : first + b - a])
+        elif n:  # fewer words make one shingle
+            values[a] = xxhash.xxh3_64_intdigest(h[first : first + n].tobytes(), seed=n)
     new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
-    values, text = values[new], text[new]
-    return values, np.searchsorted(text, np.arange(len(texts) + 1))
+    new[1:] = values[1:] != values[:-1]
+    new[cut[:-1][counts > 0]] = True
+    return values[new], np.concatenate([[0], np.cumsum(new)])[cut]
 
 
 def signature(values: np.ndarray) -> int:
