@@ -1,17 +1,18 @@
 """Exact Jaccard self-join on word shingles, as links between classes of equal sets and their components.
 
-Sets meet in tiles of one prefix shingle and one band of sizes. If two sets reach the similarity J,
-each holds a common shingle among its first n - ceil(J n) + 1 in any order that holds for all sets.
-The order here takes shingles that many documents share last, so that a passage found everywhere
-brings no tiles. Within a tile, hashed bitmaps bound the overlap of two sets from above by bit
-counts; pairs that the bound leaves are decided by intersecting the sorted arrays.
-
-Classes of equal sets are held once, and so are tiles with the same sets (a passage of many words brings
-many of these): equal tiles have equal pairs. Each tile's sets are first compared with the tile's least
-one only; what these links join needs no further comparison in the tile. Sets of one tile that are still
-apart are compared pair by pair, in tiles of bounded size: first a few pairs between any two components,
-which joins most of those that are one, then all pairs that are left. So no link between different sets
-is lost, though links inside a component need not all be listed.
+If two sets reach the similarity J, each holds a common shingle among its first n - ceil(J n) + 1 in
+any order that holds for all sets. The order here takes shingles that many documents share last, so that
+a passage found everywhere brings few tiles. Of the sets that hold such a shingle the least one is the
+hub; sets meet in tiles of one hub and one band of sizes. A hub stands for all shingles whose least set it
+is, so a passage of many words brings few tiles, and a set travels once to each. Within a tile, hashed
+bitmaps bound the overlap of two sets from above by bit counts; pairs that the bound leaves are decided
+by intersecting the sorted arrays.
+
+Classes of equal sets are held once. Each set is first compared with its hubs only; what these links join
+needs no further comparison. Sets of one tile that are still apart are compared pair by pair, in tiles of
+bounded size: first a few pairs between any two components, which joins most of those that are one, then
+all pairs that are left. So no link between different sets is lost, though links inside a component need
+not all be listed.
 """
 
 from __future__ import annotations
@@ -185,14 +186,10 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                     yield pa.RecordBatch.from_arrays([pa.array(_text.signed(np.concatenate(tokens))), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(bands))], names=["token", "sig", "band"])
 
     given = source.where("text is not null").select("text").mapInArrow(prefixes, "token long, sig long, band int")
-    # A tile's sets are summed up in 128 bits, so that of tiles with the same sets one is kept.
-    tile = Window.partitionBy("token")
-    sets_of = {"x": F.bit_xor(F.xxhash64("sig")), "y": F.bit_xor(F.xxhash64("sig", F.lit(1))), "size": F.count(F.lit(1))}
-    shared = given.repartition("token").distinct().withColumns({name: f.over(tile) for name, f in sets_of.items()}).where("size > 1")
-    every = scratch.put(shared, "every")
-    one = scratch.put(every.groupBy("x", "y", "size").agg(F.min("token").alias("token")).select("token"), "one")
-    tiles = scratch.put(every.join(one, "token", "left_semi").select("token", "sig", "band"), "tiles")
-    scratch.drop("every")
+    # Sets that share a token share its least set too, so tokens of one least set make one tile.
+    holders = Window.partitionBy("token")
+    shared = given.repartition("token").distinct().withColumns({"hub": F.min("sig").over(holders), "most": F.max("sig").over(holders)}).where("hub < most")
+    tiles = scratch.put(shared.select("hub", "sig", "band").distinct(), "tiles")
 
     owner = members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
 
@@ -241,8 +238,7 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
         scratch.drop(f"{name}-sets")
         return linked
 
-    hubs = scratch.put(tiles.groupBy("token").agg(F.min("sig").alias("hub")), "hubs")
-    star = tiles.join(hubs, "token").where("sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct()
+    star = tiles.where("sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b"))
     star = star.join(side(size, "a"), "a").join(side(size, "b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits").mapInArrow(bounded, "a long, b long")
     links = decide(star, "star")
     joined = scratch.put(connected_components(spark, links), "joined")
@@ -251,20 +247,20 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
         """Rows of the tiles whose sets are still apart; each pair of bands and parts is one tile of bounded size."""
         rows = tiles.join(joined.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         # A set stands in its own band's tile, and in the next band's as the smaller side.
-        rows = rows.withColumn("low", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("low")).select("token", "band", "low", "sig", "root")
+        rows = rows.withColumn("low", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("low")).select("hub", "band", "low", "sig", "root")
         rows = scratch.put(rows, f"{name}-apart")
-        mixed = rows.groupBy("token", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("low").alias("side"), F.count(F.lit(1)).alias("rows"))
-        mixed = scratch.put(mixed.where("lo < hi and side = 0").select("token", "band", F.ceil(F.col("rows") / TILE).cast("int").alias("parts")), f"{name}-mixed")
-        rows = rows.join(mixed, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("sig", "token"), F.col("parts")).cast("int"))
+        mixed = rows.groupBy("hub", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("low").alias("side"), F.count(F.lit(1)).alias("rows"))
+        mixed = scratch.put(mixed.where("lo < hi and side = 0").select("hub", "band", F.ceil(F.col("rows") / TILE).cast("int").alias("parts")), f"{name}-mixed")
+        rows = rows.join(mixed, ["hub", "band"]).withColumn("part", F.pmod(F.xxhash64("sig", "hub"), F.col("parts")).cast("int"))
         others = F.sequence(F.lit(0), F.col("parts") - 1)
         # Parts i of the larger side meet parts j of either.
         rows = rows.withColumn("other", F.explode(others))
         rows = rows.withColumn("i", F.when(F.col("low") == 0, F.col("part")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("low") == 0, F.col("other")).otherwise(F.col("part")))
-        own_too = rows.where("low = 0 and other < part").select("token", "sig", "root", "band", "low", F.col("other").alias("i"), F.col("part").alias("j"), F.lit(True).alias("right"))
-        rows = rows.select("token", "sig", "root", "band", "low", "i", "j", (F.col("low") == 1).alias("right")).unionByName(own_too)
+        own_too = rows.where("low = 0 and other < part").select("hub", "sig", "root", "band", "low", F.col("other").alias("i"), F.col("part").alias("j"), F.lit(True).alias("right"))
+        rows = rows.select("hub", "sig", "root", "band", "low", "i", "j", (F.col("low") == 1).alias("right")).unionByName(own_too)
         filled = rows.join(size.select("sig", "n", "bits"), "sig")
-        lanes = filled.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j", "right")
-        return lanes.select("token", "band", "i", "j", "right", "sig", "root", "n", "bits")
+        lanes = filled.repartition("hub", "band", "i", "j").sortWithinPartitions("hub", "band", "i", "j", "right")
+        return lanes.select("hub", "band", "i", "j", "right", "sig", "root", "n", "bits")
 
     def compare(batches: Iterator[pa.RecordBatch], few: int | None = None) -> Iterator[pa.RecordBatch]:
         """Pairs of one tile that the bound leaves, between sets that are still apart; with ``few``, only so many of two components."""
@@ -318,10 +314,10 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
 
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for token, band, i, j, is_right, sig, root, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if tile != (token, band, i, j):
+            for hub, band, i, j, is_right, sig, root, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tile != (hub, band, i, j):
                     found.update(pairs())
-                    tile, left, right = (token, band, i, j), [], []
+                    tile, left, right = (hub, band, i, j), [], []
                 (right if is_right else left).append((sig, root, n, np.frombuffer(bits, np.uint8)))
             yield listed(found)
         yield listed(set(pairs()))
