@@ -6,10 +6,16 @@ fingerprint has 63 bits, each the majority of one bit of the words' hashes. Mult
 et al., 2012) cuts it into four blocks; within Hamming distance 11, one block at least is within 2, so
 looking up each block with all its neighbours within 2 finds every pair in the radius. Candidates are
 decided by the exact weighted (multiset) Jaccard similarity of their word shingles.
+
+A document of fewer words than the item is one window itself. Fingerprints of different lengths lie too
+far apart for the radius, so such a pair is found by prefix filtering instead (Chaudhuri et al., 2006): at a
+similarity of t, one at least of any (1 - t) |item| + 1 shingles of the item is in the document; the
+rarest are looked up.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +28,8 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 RADIUS, NEAR = 11, 2
 BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 15))
+#: Stands for a block where a document shorter than the item is looked up by shingle.
+BY_SHINGLE = len(BLOCKS)
 #: Counters of eight bits hold so many words; longer items are cut into parts of this many.
 PART_WORDS = 120
 #: Rows of an item table up to which it is broadcast; larger ones are joined by shuffle.
@@ -101,12 +109,24 @@ def item_parts(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return parts.select("item_id", F.size("h").alias("m"), _shingles(F.col("h")).alias("shingles"), "h").distinct()
 
 
+def _with_prefix(parts: DataFrame, t: Fraction) -> DataFrame:
+    """``parts`` with ``prefix``: so many of its rarest shingles that a text of similarity t has one of them."""
+    shared = parts.select(F.explode(F.array_distinct("shingles")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("held"))
+    each = parts.select("item_id", "m", "shingles", "h", F.explode("shingles").alias("x")).join(shared, "x")
+    size = F.size("shingles")
+    n = (size - F.ceil(size * t.numerator / t.denominator - 1e-9) + 1).cast("int")
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("held", "x"))), F.lit(1), F.least(n, size))
+    return each.groupBy("item_id", "m", "shingles", "h").agg(rarest.alias("r")).select("item_id", "m", "shingles", "h", F.array_distinct(F.col("r.x")).alias("prefix"))
+
+
 def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, at_least: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, start, n_words, similarity, n_windows`` for each pair of row and item that match.
 
     A pair matches if a window of the row, of as many words as the item, has weighted Jaccard
-    similarity ``at_least`` on shingles of five words and a fingerprint within 11 of 63 bits. ``start``
-    is the best window's first word (the first of equal ones), ``n_windows`` how many windows match.
+    similarity ``at_least`` on shingles of five words and a fingerprint within 11 of 63 bits. A row of
+    fewer words is one window, the whole of it, and matches by similarity alone. ``start`` is the best
+    window's first word (the first of equal ones), ``n_words`` its number of words, ``n_windows`` how
+    many windows match.
 
     Items of fewer than five words match nothing; null texts on either side match nothing. Rows of
     one id and text give one result, rows of one id and different texts one together; a null id is an
@@ -123,27 +143,37 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, at_least:
     seeds = places.join(wanted, "x").groupBy(F.col("doc_id").alias("seed_doc"), F.col("key").alias("seed_key"), "m").agg(F.collect_set("pos").alias("seeds"))
 
     full = hashed(keyed.join(seeds, F.col("doc_id").eqNullSafe(F.col("seed_doc")) & (F.col("key") == F.col("seed_key"))).drop("seed_doc", "seed_key"))
-    full = full.select("doc_id", "s", "m", "seeds", F.size("h").alias("n"), *[_counters(F.col("h"), k).alias(f"c{k}") for k in range(9)]).where("m <= n")
+    full = full.select("doc_id", "s", "m", "seeds", F.size("h").alias("n"), *[_counters(F.col("h"), k).alias(f"c{k}") for k in range(9)])
     m, n = F.col("m"), F.col("n")
+    # A shorter row can't reach the similarity if the share of its shingles is less.
+    full = full.where((m <= n) | (n - SHINGLE + 1 >= (m - SHINGLE + 1) * at_least - 1e-9)).withColumn("n_words", F.least(m, n))
+    size = F.col("n_words")
     starts = F.flatten(F.transform("seeds", lambda p: F.sequence(F.greatest(F.lit(0), F.least(p - m + SHINGLE, n - m)), F.greatest(F.lit(0), F.least(p, n - m)))))
     counters = [F.col(f"c{k}") for k in range(9)]
-    window = F.transform(F.array_distinct(starts), lambda at: F.struct(at.alias("start"), F.slice("s", at + 1, m - SHINGLE + 1).alias("window"), _fingerprint(counters, at, m).alias("fp")))
-    windows = full.withColumn("w", F.explode_outer(window)).where("w is not null").select("doc_id", "m", "w.start", "w.window", "w.fp")
+    window = F.transform(F.array_distinct(starts), lambda at: F.struct(at.alias("start"), F.slice("s", at + 1, size - SHINGLE + 1).alias("window"), _fingerprint(counters, at, size).alias("fp")))
+    windows = full.withColumn("w", F.explode_outer(window)).where("w is not null").select("doc_id", "m", "n_words", "w.start", "w.window", "w.fp")
 
-    item = parts.select("item_id", F.col("m").alias("item_m"), F.col("shingles").alias("item_shingles"), _fingerprint([_counters(F.col("h"), k) for k in range(9)], F.lit(0), F.col("m")).alias("item_fp"))
+    item = _with_prefix(parts, Fraction(str(at_least))).select("item_id", "prefix", F.col("m").alias("item_m"), F.col("shingles").alias("item_shingles"), _fingerprint([_counters(F.col("h"), k) for k in range(9)], F.lit(0), F.col("m")).alias("item_fp"))
     near = F.flatten(F.array(*[_neighbours(k, block, size) for k, (block, (_, size)) in enumerate(zip(_blocks(F.col("item_fp")), BLOCKS, strict=True))]))
-    lookup = _small(item.select("item_m", "item_fp").distinct().withColumn("e", F.explode_outer(near)).select("item_m", "item_fp", "e.block", "e.value"))
-
-    probes = windows.withColumn("e", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), b.alias("value")) for k, b in enumerate(_blocks(F.col("fp")))])))
-    met = probes.select("doc_id", F.col("m").alias("item_m"), "start", "window", "fp", "e.block", "e.value").join(lookup, ["block", "value", "item_m"])
-    met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    # A pair met in several blocks counts in its first only.
+    by_block = item.select("item_m", "item_fp").distinct().withColumn("e", F.explode_outer(near)).select("item_m", "item_fp", "e.block", "e.value")
+    by_shingle = item.select("item_m", "item_fp", F.lit(BY_SHINGLE).alias("block"), F.explode("prefix").alias("value")).distinct()
+    lookup = _small(by_block.unionByName(by_shingle))
+
+    probe = lambda k, b: F.struct(F.lit(k).alias("block"), b.alias("value"))
+    shorter = F.col("n_words") < F.col("item_m")
+    asked = F.when(shorter, F.transform(F.array_distinct("window"), lambda x: probe(BY_SHINGLE, x))).otherwise(F.array(*[probe(k, b) for k, b in enumerate(_blocks(F.col("fp")))]))
+    probes = windows.withColumnRenamed("m", "item_m").withColumn("e", F.explode_outer(asked))
+    met = probes.select("doc_id", "item_m", "n_words", "start", "window", "fp", "e.block", "e.value").join(lookup, ["block", "value", "item_m"])
+    met = met.where(shorter | (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS))
+    # A pair met in several blocks, or by several shingles, counts in its first only.
     differ = [F.bit_count(a.bitwiseXOR(b)) <= NEAR for a, b in zip(_blocks(F.col("fp")), _blocks(F.col("item_fp")), strict=True)]
     first = F.when(differ[0], 0).when(differ[1], 1).when(differ[2], 2).otherwise(3)
-    sure = met.where(F.col("block") == first).join(_small(item), ["item_m", "item_fp"]).withColumn("similarity", _similarity(F.col("window"), F.col("item_shingles"))).where(F.col("similarity") >= at_least)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "item_m")).alias("b")
+    once = shorter & (F.col("value") == F.get(F.filter("prefix", lambda x: F.array_contains(F.col("window"), x)), F.lit(0)))
+    met = met.where(shorter | (F.col("block") == first)).join(_small(item), ["item_m", "item_fp"]).where(~shorter | once)
+    sure = met.withColumn("similarity", _similarity(F.col("window"), F.col("item_shingles"))).where(F.col("similarity") >= at_least)
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("b")
     out = sure.groupBy("doc_id", "item_id").agg(best, F.count(F.lit(1)).alias("n_windows"))
-    return out.select("doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.item_m").cast("long").alias("n_words"), F.round("b.similarity", 6).alias("similarity"), "n_windows")
+    return out.select("doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"), F.round("b.similarity", 6).alias("similarity"), "n_windows")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, at_least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

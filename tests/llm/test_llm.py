@@ -213,6 +213,37 @@ def test_decontamination(spark, data, docs):
     assert found >= {(r.doc_id, i) for r in docs.collect() if r.text and r.doc_id is not None for i, t in texts if t in r.text}
 
 
+def test_decontamination_of_shorter_documents(spark, data):
+    """Items with words missing, alone in a document: all whose similarity is 0.75 or more, and no others."""
+    items = spark.read.parquet(f"{data}/benchmark.parquet")
+    texts = [(r.item_id, re.findall(r"[^\W_]+", r.text.lower())) for r in items.collect()][:40]
+    texts += [(901, ["w"] * 8 + [f"w{k}" for k in range(60)]), (902, [f"w{k}" for k in range(60)] + ["w"] * 8)]
+    items = items.unionByName(spark.createDataFrame([(i, " ".join(w)) for i, w in texts if i > 900], "item_id long, text string"))
+    rng = np.random.default_rng(11)
+    cut = []
+    for _, w in texts:
+        for k in (1, 2, len(w) // 8, len(w) // 5):
+            at = int(rng.integers(len(w) - k + 1))
+            cut += [w[:-k], w[k:], w[:at] + w[at + k :]]
+    cut = [w for w in cut if len(w) >= 1]
+
+    def grams(w):
+        return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+
+    held = {i: (len(w), grams(w)) for i, w in texts}
+    want = {}
+    for d, w in enumerate(cut):
+        g = grams(w)
+        for i, (m, x) in held.items():
+            if g and x and len(w) < m and 4 * (g & x).total() >= 3 * (g | x).total():
+                want[d, i] = (0, len(w), round((g & x).total() / (g | x).total(), 6), 1)
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(cut)], "doc_id long, text string")
+    found = decontaminate.find_leaks(spark, frame, items).collect()
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity, r.n_windows) for r in found if r.item_id in held and len(cut[r.doc_id]) < held[r.item_id][0]}
+    assert len(want) > 100 and got == want
+    assert decontaminate.drop_leaks(spark, frame, items).where(f"doc_id in ({','.join(str(d) for d, _ in want)})").count() == 0
+
+
 def test_fingerprint_is_the_majority(spark):
     from pyspark.sql import functions as F
 
