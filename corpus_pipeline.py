@@ -13,8 +13,8 @@ ORACLE_SQL = None
 
 def _languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
-    dictionaries = language_id.train_dictionaries(docs)
-    found = language_id.identify(docs, dictionaries, keep=tuple(docs.columns))
+    dictionaries, margins = language_id.fit(docs)
+    found = language_id.identify(docs, dictionaries, margins, keep=tuple(docs.columns))
     return found.where("accepted").select(*docs.columns)
 
 

@@ -1,4 +1,8 @@
-"""Language by compression: the language whose dictionary makes a text smallest."""
+"""Language by compression: the language whose dictionary makes a text smallest.
+
+How far the smallest size must lie below the next depends on the text's length; the margins are fitted
+from labelled rows that are in no dictionary (see :func:`fit`).
+"""
 
 from __future__ import annotations
 
@@ -15,41 +19,101 @@ PIECE_BYTES = 2048
 #: Decimals of a score.
 DIGITS = 6
 
+#: Margins by least number of bytes, where the labelled rows are too few to fit them. A tie is never accepted.
+MARGINS = ((0, 0.0), (32, 0.03), (128, 0.03), (512, 0.03))
+#: Rows of a margin's fit at least, and rows of all languages at most, so that the driver's share is bounded.
+FEW_ROWS, MOST_ROWS = 50, 1024
+
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def train_dictionaries(
-    labelled: DataFrame, docs_per_language: int = 64, bytes_per_doc: int = 1024, max_languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
-) -> dict[str, bytes]:
-    """A raw-content dictionary for each language.
+def _compressors(dictionaries: dict[str, bytes], level: int) -> list:
+    import zstandard as z
+
+    size = max(map(len, dictionaries.values()), default=0)
+    format = z.ZstdCompressionParameters.from_level(level, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, source_size=PIECE_BYTES, dict_size=size)
+    return [z.ZstdCompressor(compression_params=format, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT)).compress for d in dictionaries.values()]
+
+
+def _sizes(data: bytes, compressors: list) -> list[int]:
+    pieces = [data[k : k + PIECE_BYTES] for k in range(0, len(data), PIECE_BYTES)]
+    return [sum(len(f(p)) for p in pieces) for f in compressors]
+
+
+def _score(sizes: list[int]) -> float:
+    least = sorted(sizes)[:2]
+    return 1.0 if len(least) == 1 else 1 - least[0] / least[1]
+
+
+def _margins(held: list[tuple[str, str]], dictionaries: dict[str, bytes], level: int) -> tuple[tuple[int, float], ...]:
+    """The lesser of the 1st percentile of known languages' scores and the 99th of those left out, for each length."""
+    names, compressors, out = list(dictionaries), _compressors(dictionaries, level) if dictionaries else [], [MARGINS[0]]
+    for k, (low, default) in list(enumerate(MARGINS))[1:]:
+        high = MARGINS[k + 1][0] if k + 1 < len(MARGINS) else 2 * low
+        known, left_out = [], []
+        for i, (lang, text) in enumerate(held):
+            data = text.encode()[: low + i * 37 % (high - low)]
+            if len(data) < low:
+                continue
+            sizes = _sizes(data, compressors)
+            own = names.index(lang)
+            if sizes[own] < min((x for k, x in enumerate(sizes) if k != own), default=sizes[own] + 1):
+                known.append(_score(sizes))
+            if len(names) > 2:
+                left_out.append(_score(sizes[:own] + sizes[own + 1 :]))
+        if len(known) < FEW_ROWS:
+            out.append((low, default))
+            continue
+        found = [sorted(known)[len(known) // 100]] + ([sorted(left_out)[len(left_out) * 99 // 100]] if left_out else [])
+        out.append((low, round(min(found), DIGITS)))
+    return tuple(out)
+
+
+def fit(
+    labelled: DataFrame, docs_per_language: int = 64, bytes_per_doc: int = 1024, max_languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", level: int = 6
+) -> tuple[dict[str, bytes], tuple[tuple[int, float], ...]]:
+    """A raw-content dictionary for each language, and the least score by number of bytes.
 
     The bound of the fit: of each of the ``max_languages`` most frequent languages, the
     ``docs_per_language`` rows of least hash of (id, text), each with ``bytes_per_doc`` characters
-    from its middle. Rows without language or text take no part.
+    from its middle. The rows next in order, up to as many and MOST_ROWS in all, are for the margins: each is
+    scored once among all languages and once without its own. Rows without language or text take no part.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and length(t) > 40")
     rows = rows.select("l", F.xxhash64("i", F.md5("t")).alias("h"), F.lower(F.substring("t", F.greatest(F.lit(1), F.floor(F.length("t") / 2 - bytes_per_doc / 2).cast("int")), F.lit(bytes_per_doc))).alias("t"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
     # The most frequent language comes first.
     langs = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages)
-    picked = rows.withColumn("r", rank).where(F.col("r") <= docs_per_language)
+    picked = rows.withColumn("r", rank).where(F.col("r") <= 2 * docs_per_language)
     out: dict[str, list[str]] = {}
-    for r in sorted(picked.join(F.broadcast(langs), "l").select((-F.col("count")).alias("c"), "l", "r", "t").collect()):
-        out.setdefault(r["l"], []).append(r["t"])
+    held: list[tuple[str, str]] = []
+    found = sorted(picked.join(F.broadcast(langs), "l").select((-F.col("count")).alias("c"), "l", "r", "t").collect())
+    each = max(1, MOST_ROWS // max(1, len({r["l"] for r in found})))
+    for r in found:
+        if r["r"] <= docs_per_language:
+            out.setdefault(r["l"], []).append(r["t"])
+        elif r["r"] <= docs_per_language + each:
+            held.append((r["l"], r["t"]))
     # What stands last in a dictionary is cheapest to refer to; all have one size.
     whole = {k: "\n".join(v).encode() for k, v in out.items()}
     size = min((len(v) for v in whole.values()), default=0)
-    return {k: v[-max(size, 16_384) :] for k, v in whole.items()}
+    dictionaries = {k: v[-max(size, 16_384) :] for k, v in whole.items()}
+    return dictionaries, _margins(held[:MOST_ROWS], dictionaries, level)
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.001, min_bytes: int = 32, level: int = 6, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def train_dictionaries(labelled: DataFrame, *args, **kwargs) -> dict[str, bytes]:
+    """The dictionaries of :func:`fit`."""
+    return fit(labelled, *args, **kwargs)[0]
+
+
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], margins: tuple[tuple[int, float], ...] = MARGINS, level: int = 6, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, lang_pred, score, accepted`` for each row, and the columns in ``keep``.
 
     A text is lower-cased and cut into pieces of 2,048 bytes; the sizes of all its pieces are summed
     for each language. ``score`` is the share by which the smallest sum is below the next one (1 if
-    there is one language only). A score under ``min_margin`` is too narrow, and the row isn't
-    ``accepted``; ``lang_pred`` is still the best guess. Under ``min_bytes`` bytes a margin says nothing, and
-    the guess stands. Ties go to the dictionary that comes first, of the most frequent language.
+    there is one language only). A score under the margin for the text's number of bytes is too narrow, and the
+    row isn't ``accepted``; ``lang_pred`` is still the best guess. Under 32 bytes any lead is enough. Ties
+    go to the dictionary that comes first, of the most frequent language, and are never accepted.
 
     A null text, or one without a letter, or without any dictionary, is ``und`` with score 0, not
     accepted. Ids may be null or repeat; texts of any length are read whole; columns not named are
@@ -59,27 +123,22 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     held: dict[int, list] = {}
 
     def compressors() -> list:
-        import zstandard as z
-
         if level not in held:
-            format = z.ZstdCompressionParameters.from_level(level, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, source_size=PIECE_BYTES, dict_size=len(dictionaries[names[0]]))
-            held[level] = [z.ZstdCompressor(compression_params=format, dict_data=z.ZstdCompressionDict(dictionaries[n], dict_type=z.DICT_TYPE_RAWCONTENT)).compress for n in names]
+            held[level] = _compressors(dictionaries, level)
         return held[level]
 
-    def guess(text: str | None) -> tuple[str, float]:
+    def guess(text: str | None) -> tuple[str, float, bool]:
         if text is None or not names or not _LETTER.search(text):
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, False
         data = text.lower().encode()
-        pieces = [data[k : k + PIECE_BYTES] for k in range(0, len(data), PIECE_BYTES)]
-        sizes = sorted((sum(len(f(p)) for p in pieces), k) for k, f in enumerate(compressors()))
-        return names[sizes[0][1]], 1.0 if len(sizes) == 1 else round(1 - sizes[0][0] / sizes[1][0], DIGITS)
+        sizes = _sizes(data, compressors())
+        score = round(_score(sizes), DIGITS)
+        return names[sizes.index(min(sizes))], score, score > 0 and score >= [m for low, m in margins if low <= len(data)][-1]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [guess(t) for t in batch.column(0).to_pylist()]
-            lang, score = ([x[k] for x in found] for k in (0, 1))
-            short = [t is not None and len(t.encode()) < min_bytes for t in batch.column(0).to_pylist()]
-            accepted = [n != UNDETERMINED and (s >= min_margin or few) for (n, s), few in zip(found, short, strict=True)]
+            lang, score, accepted = ([x[k] for x in found] for k in (0, 1, 2))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=[*batch.schema.names[1:], "lang_pred", "score", "accepted"])
 
     source = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep if c != "doc_id"])

@@ -66,8 +66,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    dictionaries = language_id.train_dictionaries(docs.where("not held_out"))
-    return language_id.identify(docs, dictionaries, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+    dictionaries, margins = language_id.fit(docs.where("not held_out"))
+    return language_id.identify(docs, dictionaries, margins, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,6 +306,22 @@ def test_language_id(spark, data, docs):
     assert all(0 <= r.score <= 1 for r in odd.values())
 
 
+def test_language_rejects_what_it_does_not_know(spark, data):
+    """A language left out of the fit, letters at random, and texts too short to tell."""
+    table = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet").where("length(text) between 300 and 4000")
+    dictionaries, margins = language_id.fit(table.where("doc_id % 4 <> 2 and lang <> 'de'"))
+    rng = np.random.default_rng(2)
+    letters = [(-1 - k, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 300 if k % 2 else 1500)), "none") for k in range(100)]
+    asked = table.where("doc_id % 4 = 2 or lang = 'de'").select("doc_id", "text", "lang").unionByName(spark.createDataFrame([*letters, (-1000, "Qx.", "short")], "doc_id long, text string, lang string"))
+    shares = defaultdict(list)
+    for r in language_id.identify(asked, dictionaries, margins, keep=("lang",)).collect():
+        shares[r.lang].append(r.accepted)
+    share = {k: sum(v) / len(v) for k, v in shares.items()}
+    print(margins, share, {k: len(v) for k, v in shares.items()})
+    assert share["de"] < 0.2 and share["none"] < 0.05 and share["short"] == 0
+    assert all(share[k] > 0.95 for k in ("en", "fr", "es"))
+
+
 def test_sharding(spark):
     names = [f"s{k}" for k in range(7)]
     table = sharding.fill_table(names, 1009)
