@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Runs of at least 16 key characters, one a digit at least.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,199}[0-9])[A-Za-z0-9+/_\-]{16,200}={0,2}"
+#: Whole runs of at least 16 key characters, however long, one a digit at least. Nothing is tried twice (possessive).
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 BEFORE, AFTER = 48, 24
 REDACTED = "[SECRET]"
 #: Words that name a secret, and words that name another kind of number.

@@ -295,6 +295,19 @@ def test_secrets(spark, docs):
     assert 'x token = "[SECRET]" y' in texts and rows[1][1] in texts and "password: '[SECRET]' z [SECRET]" in texts
 
 
+def test_long_secrets_are_taken_whole(spark):
+    forest = secret_scan.train_forest(spark)
+    keys = [base64.b64encode(b"".join(hashlib.sha512(f"{n} {k}".encode()).digest() for k in range(n))).decode() for n in (3, 20, 400)]
+    late = "".join(c for c in keys[2] if c not in "0123456789=")[:250] + keys[1]  # its first digit comes late
+    rows = [(k, f'x private_key = "{key}" y', 7) for k, key in enumerate([*keys, late])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in secret_scan.scan(spark, frame, forest).collect()}
+    for k, key in enumerate([*keys, late]):
+        assert (got[k].start, got[k].length, got[k].sha256) == (17, len(key), hashlib.sha256(key.encode()).hexdigest())
+        assert got[k].is_secret, (k, len(key), got[k].score)
+    assert {r.text for r in secret_scan.redact(spark, frame, forest).collect()} == {'x private_key = "[SECRET]" y'}
+
+
 def test_language_id(spark, data, docs):
     table = spark.read.parquet(f"{data}/documents.parquet")
     dictionaries = language_id.train_dictionaries(table.where("doc_id % 4 <> 2"))
