@@ -97,16 +97,44 @@ def test_top_k(spark, data):
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
-def test_index_stops_only_on_proof():
+@pytest.mark.parametrize("levels, rounds", [(topk.LEVELS, topk.ROUNDS), ((), (1.0,)), ((0.3,), (0.1, 0.2, 0.4, 0.6, 0.8, 1.0))])
+def test_index_stops_only_on_proof(levels, rounds):
     rng = np.random.default_rng(1)
-    x = (rng.standard_normal((600, 24)) * 40).astype(np.int64)
+    x = (rng.standard_normal((900, 24)) * 40).astype(np.int64)
     x[5:40] = x[5]
-    index = topk.ImpactIndex(x)
-    for q in (x[5], x[100], np.zeros(24, np.int64), -x[7]):
-        places, scores = index.search(q, 4)
-        exact = x @ q
-        cut = np.sort(exact)[-4]
-        assert set(places.tolist()) == set(np.flatnonzero(exact >= cut).tolist()) and (scores == exact[places]).all()
+    x[60:70] *= 2**18
+    index = topk.ImpactIndex(x, levels)
+    q = np.stack([x[5], x[100], np.zeros(24, np.int64), -x[7], x[61], *x[200:230]])
+    own = np.zeros((len(q), len(x)), bool)
+    own[1, 100] = own[4, 61] = True
+    for start in (None, 0, 500):
+        floor = np.full(len(q), topk.NONE)
+        want = []
+        for i, v in enumerate(q):
+            scores = np.where(own[i], topk.NONE, x @ v)
+            cut = np.sort(scores)[-4]
+            want += [(i, int(r), int(scores[r])) for r in np.flatnonzero(scores >= cut)]
+            if start is not None:
+                floor[i] = cut - start
+        got = list(zip(*(c.tolist() for c in index.search(q, 4, floor, own, rounds)), strict=True))
+        assert set(got) >= set(want) and len(set(got)) == len(got)
+        assert len(got) < len(q) * len(x) / (4 if levels == topk.LEVELS else 2)
+        best = topk._best(*(np.array(c) for c in zip(*got, strict=True)), 4)
+        assert sorted(zip(*(c.tolist() for c in best), strict=True)) == sorted(r for i in range(len(q)) for r in sorted((w for w in want if w[0] == i), key=lambda w: (-w[2], w[1]))[:4])
+
+
+def test_top_k_in_many_cells(spark, data, monkeypatch):
+    """Several blocks on both sides, some in one task, and empty sides."""
+    table = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding")
+    asked = table.where("vec_id % 7 = 0")
+    want = sorted(map(tuple, topk.top_k(table, asked, 3).collect()))
+    for name, n in (("QUERIES", 9), ("TASK_ROWS", 4), ("TASK_QUERIES", 3), ("TASKS", 3)):
+        monkeypatch.setattr(topk, name, n)
+    assert sorted(map(tuple, topk.top_k(table, asked, 3, block=31).collect())) == want and len(want) == 3 * asked.count()
+    assert topk.top_k(table, asked.limit(0), 3).count() == 0 and topk.top_k(table.limit(0), asked, 3).count() == 0
+    assert sorted((r.rank, r.vec_id) for r in topk.top_k(table.where("vec_id in (0, 1, 2)"), table.where("vec_id = 0"), 5).collect())[0][0] == 1
+    clash = table.withColumnsRenamed({"vec_id": "score", "embedding": "rank"}).selectExpr("score", "rank", "1 as query_id", "2 as cell", "3 as vec_id")
+    assert sorted(map(tuple, topk.top_k(clash, clash.where("score % 7 = 0"), 3, "score", "rank").collect())) == want
 
 
 def brute_repeats(rows, n):
