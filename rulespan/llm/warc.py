@@ -22,8 +22,12 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records' date where the capture has none.
 DATE = "2000-01-01T00:00:00Z"
-#: Captures in one file at most.
-FILE_CAPTURES = 4000
+#: Captures in one file at most, and bytes of their payloads. A file is read by one task, as one value.
+FILE_CAPTURES, FILE_BYTES = 4000, 1 << 28
+#: Payloads up to each of these sizes are written to files of their own, and larger ones too.
+CLASSES = (1 << 16, 1 << 22)
+#: The payloads or originals that most captures share: so many are joined by broadcast, and all others by shuffle.
+HEAVY = 1024
 #: A response of a few bytes more than its payload: status line and headers.
 _READ = 1 << 20
 
@@ -48,24 +52,46 @@ def _urn(kind: str, key: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), *[x for a, n in ((9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.lit("-"), F.substring(h, a, n))], F.lit(">"))
 
 
+def _join_spread(many: DataFrame, few: DataFrame, key: list[str], order: str, salt: str) -> DataFrame:
+    """``many`` left-joined with ``few``, which has each key once; no key brings many rows to one task.
+
+    The HEAVY keys with the greatest ``order`` are joined by broadcast: their number is fixed. Rows that they take
+    go on under keys of their own, by ``salt``, so the shuffle deals them evenly. ``order`` isn't in the result.
+    """
+    names = [c for c in few.columns if c not in key and c != order]
+    heavy = few.orderBy(F.desc(order), *key).limit(HEAVY).select(*key, F.struct(*names).alias("__heavy"))
+    rest = few.select(F.to_json(F.struct(*key)).alias("__key"), F.struct(*names).alias("__rest"))
+    rows = many.join(F.broadcast(heavy), key, "left")
+    alone = F.concat(F.lit("-"), F.col(salt))
+    rows = rows.withColumn("__key", F.when(F.col("__heavy").isNotNull(), alone).otherwise(F.to_json(F.struct(*key))))
+    out = rows.join(rest, "__key", "left")
+    return out.select(*many.columns, *[F.coalesce(F.col(f"__heavy.{n}"), F.col(f"__rest.{n}")).alias(n) for n in names])
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
     """Writes each row as a transaction of three records under ``path``.
 
     Rows of equal payloads of at least ``min_bytes`` bytes are written once: the one of greatest id
     (all that have it, if the id repeats) as response, the others as revisits that refer to it. A null
     body is an empty payload and a null url an empty target; a null id is less than all others.
-    Columns not named are ignored; an empty table writes no records.
+    Columns not named are ignored; an empty table writes no records. Files hold FILE_CAPTURES captures and
+    FILE_BYTES of payloads at most (or one capture), pages of like sizes together.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("url", F.regexp_replace("url", r"[\x00-\x20\x7f]", "")).withColumn("digest", sha1_base32(F.col("body"))).withColumn("bytes", F.octet_length("body").cast("long"))
     page = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    if rows.groupBy("id", "digest").count().where("count > 1").take(1):
+    size_class = F.lit(0)
+    for k, limit in enumerate(CLASSES):
+        size_class = F.when(F.col("bytes") > limit, k + 1).otherwise(size_class)
+    sizes = rows.groupBy("id", "digest", size_class.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"))
+    classes = sizes.groupBy("class").agg(F.max("n").alias("n"), F.max("bytes").alias("bytes")).collect()
+    if any(c["n"] > 1 for c in classes):
         # Rows that repeat an id and payload need numbers, and these must stay as they are: a written table.
         rows = Scratch(pages.sparkSession, "warc-rows").put(rows.withColumn("row", F.concat_ws(":", page, "digest", F.monotonically_increasing_id().cast("string"))), "rows")
     else:
         rows = rows.withColumn("row", F.concat_ws(":", page, "digest"))
     newest = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("k"), "row")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(newest.drop("n"), ["digest", "bytes"], "left")
+    rows = _join_spread(rows, newest, ["digest", "bytes"], "n", "row")
     revisit = F.col("top").isNotNull() & (F.coalesce("id", F.lit(-(2**63))) < F.col("top.k"))
 
     key = F.col("row")
@@ -83,8 +109,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
         F.when(revisit, _record("revisit", response, [target, own, digest, kind, refers], http)).otherwise(_record("response", response, [target, own, digest, kind], F.concat(http, F.col("body")))),
         _record("metadata", _urn("metadata", key), [target, F.lit("Content-Type: application/warc-fields\r\n"), concurrent], F.concat(F.lit("payloadBytes: "), F.col("bytes").cast("string"), F.lit("\r\n"))),
     ]
-    lines = rows.select(F.explode(F.array(*records)).alias("value"))
-    lines.write.option("compression", "gzip").option("maxRecordsPerFile", 3 * FILE_CAPTURES).text(path)
+    lines = rows.select(size_class.alias("class"), F.explode(F.array(*records)).alias("value"))
+    for c in classes or [{"class": 0, "bytes": 0}]:
+        captures = max(1, min(FILE_CAPTURES, FILE_BYTES // (c["bytes"] + 1)))
+        part = lines.where(F.col("class") == c["class"]).select("value") if len(classes) > 1 else lines.select("value")
+        part.write.option("compression", "gzip").option("maxRecordsPerFile", 3 * captures).text(f"{path}/size-{c['class']}")
 
 
 def _lines(head: bytes) -> dict[str, str]:
@@ -178,18 +207,25 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Requests and metadata are joined to the response or revisit that they name as concurrent; a
     revisit's ``original`` is the response it refers to. Parts that an archive lacks are null.
-    Records repeated under one id count once.
+    Records repeated under one id count once. ``records`` is read several times, so it should be a written table.
     """
     part = lambda kind, name: records.where(F.col("kind") == kind).dropDuplicates(["record_id"]).select(F.col("concurrent_to").alias("id"), F.struct("record_id", "fields").alias(name))
     once = lambda kind, name: part(kind, name).groupBy("id").agg(F.min(name).alias(name))
     main = records.where("kind in ('response', 'revisit')").dropDuplicates(["record_id"])
     main = main.select(F.col("record_id").alias("id"), "capture_key", "target", "refers_to", F.struct("kind", "record_id", "digest", "n_bytes", "payload").alias("response"))
     whole = main.join(once("request", "request"), "id", "left").join(once("metadata", "metadata"), "id", "left")
+    response = F.col("response")
+    wanted = whole.where("refers_to is not null").groupBy("refers_to").agg(F.count(F.lit(1)).alias("n"))
     origin = records.where("kind = 'response'").dropDuplicates(["record_id"]).select(F.col("record_id").alias("refers_to"), F.struct("capture_key", "record_id", "digest", "n_bytes").alias("original"))
-    return whole.join(origin, "refers_to", "left").select("capture_key", "target", "response", "request", "metadata", "original")
+    # Only captures that refer to another are joined; many can refer to one.
+    columns = ["capture_key", "target", "response", "request", "metadata"]
+    revisits = whole.where("refers_to is not null").withColumn("own", response["record_id"])
+    met = _join_spread(revisits, wanted.join(origin, "refers_to"), ["refers_to"], "n", "own").select(*columns, "original")
+    alone = whole.where("refers_to is null").select(*columns, F.lit(None).cast(met.schema["original"].dataType).alias("original"))
+    return alone.unionByName(met)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, path: str, min_bytes: int = 0, payloads: bool = False) -> DataFrame:
     """Writes ``pages`` under ``path`` and returns what :func:`assemble` reads there."""
     write_archives(pages, path, min_bytes)
-    return assemble(read_records(spark, path, payloads))
+    return assemble(Scratch(spark, "warc-records").put(read_records(spark, path, payloads), "records"))

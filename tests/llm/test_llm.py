@@ -307,6 +307,31 @@ def test_warc(spark, tmp_path):
     assert warc.assemble(warc.read_records(spark, str(tmp_path / "b"))).count() == 0
 
 
+def test_warc_joins_spread_hot_keys(spark, tmp_path, monkeypatch):
+    """Many pages with one payload, pages of several sizes, files of few captures, columns with clashing names."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(warc, "HEAVY", 2)
+    monkeypatch.setattr(warc, "CLASSES", (8, 100))
+    monkeypatch.setattr(warc, "FILE_BYTES", 400)
+    bodies = lambda k: "hot" if k % 3 == 0 else "warm" if k % 7 == 0 else f"pair {k // 4}" if k % 2 else "l" * (k % 150)
+    rows = [(k, bodies(k), "d", "r", 1) for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, digest string, `top` string, bytes int").withColumn("url", F.lit("http://x/"))
+    got = {int(c.capture_key): (c.response.kind, c.original and int(c.original.capture_key)) for c in warc.round_trip(spark, pages, str(tmp_path / "a")).collect()}
+    last = {bodies(k): k for k in range(300)}
+    assert got == {k: ("response", None) if last[bodies(k)] == k else ("revisit", last[bodies(k)]) for k in range(300)}
+    assert len(list((tmp_path / "a").rglob("*.gz"))) > 20 and len(list((tmp_path / "a").glob("size-*"))) == 3
+    # Neither rows without a reference nor those of one original end in one task.
+    records = warc.Scratch(spark, "t").put(warc.read_records(spark, str(tmp_path / "a"), False), "r")
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = [r[0] for r in warc.assemble(records).where("response.kind = 'revisit'").groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    assert len(counts) > 1 and max(counts) < 0.6 * sum(counts)
+
+
 def test_secrets(spark, docs):
     forest = secret_scan.train_forest(spark)
     held = secret_scan.features(secret_scan.labelled_findings(spark, 6000).withColumn("i", secret_scan.F.monotonically_increasing_id())).withColumn("p", forest)
