@@ -32,9 +32,9 @@ HEAVY = 1024
 _READ = 1 << 20
 
 
-def sha1_base32(text: Column) -> Column:
-    """SHA-1 of a string's UTF-8 as 32 upper-case base32 letters."""
-    hexed, out = F.sha1(text), []
+def base32(hexed: Column) -> Column:
+    """40 hex digits as 32 upper-case base32 letters."""
+    out = []
     for k in range(8):  # five hex digits are four letters
         v = F.conv(F.substring(hexed, 5 * k + 1, 5), 16, 10).cast("int")
         out += [F.substring(F.lit(BASE32), F.shiftright(v, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
@@ -58,6 +58,7 @@ def _join_spread(many: DataFrame, few: DataFrame, key: list[str], order: str, sa
     The HEAVY keys with the greatest ``order`` are joined by broadcast: their number is fixed. Rows that they take
     go on under keys of their own, by ``salt``, so the shuffle deals them evenly. ``order`` isn't in the result.
     """
+    few = Scratch(few.sparkSession, "warc-keys").put(few, "keys")
     names = [c for c in few.columns if c not in key and c != order]
     heavy = few.orderBy(F.desc(order), *key).limit(HEAVY).select(*key, F.struct(*names).alias("__heavy"))
     rest = few.select(F.to_json(F.struct(*key)).alias("__key"), F.struct(*names).alias("__rest"))
@@ -78,7 +79,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
     FILE_BYTES of payloads at most (or one capture), pages of like sizes together.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"))
-    rows = rows.withColumn("url", F.regexp_replace("url", r"[\x00-\x20\x7f]", "")).withColumn("digest", sha1_base32(F.col("body"))).withColumn("bytes", F.octet_length("body").cast("long"))
+    rows = rows.withColumn("url", F.regexp_replace("url", r"[\x00-\x20\x7f]", "")).withColumn("digest", F.sha1("body")).withColumn("bytes", F.octet_length("body").cast("long"))
     page = F.coalesce(F.col("id").cast("string"), F.lit("null"))
     size_class = F.lit(0)
     for k, limit in enumerate(CLASSES):
@@ -98,7 +99,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
     response = _urn("response", key)
     target = F.concat(F.lit("WARC-Target-URI: "), F.col("url"), F.lit("\r\n"))
     own = F.concat(F.lit("X-Capture-Key: "), page, F.lit("\r\n"))
-    digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\n"))
+    digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("digest")), F.lit("\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     kind = F.lit("Content-Type: application/http; msgtype=response\r\n")
     concurrent = F.concat(F.lit("WARC-Concurrent-To: "), response, F.lit("\r\n"))
