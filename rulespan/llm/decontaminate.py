@@ -3,19 +3,23 @@
 A document's windows that share no shingle with a benchmark item have similarity 0 to all items, so
 only windows over a shared shingle are fingerprinted: windows of the item's own number of words. The
 fingerprint has 63 bits, each the majority of one bit of the words' hashes. Multi-index hashing (Norouzi
-et al., 2012) cuts it into four blocks; within Hamming distance 11, one block at least is within 2, so
+et al., 2012) cuts it into five blocks; within Hamming distance 14, one block at least is within 2, so
 looking up each block with all its neighbours within 2 finds every pair in the radius. Candidates are
 decided by the exact weighted (multiset) Jaccard similarity of their word shingles.
 
+The counters of a fingerprint hold 120 words. A longer item is looked up by its parts of so many words; where a
+window matches a part, the window of the whole item's length that is aligned with it is decided exactly.
+
 A document of fewer words than the item is one window itself. Fingerprints of different lengths lie too
 far apart for the radius, so such a pair is found by prefix filtering instead (Chaudhuri et al., 2006): at a
 similarity of t, one at least of any (1 - t) |item| + 1 shingles of the item is in the document; the
-rarest are looked up.
+rarest are looked up. An item of fewer words than a shingle is met by documents of the same words only.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,14 +30,14 @@ from pyspark.sql import functions as F
 # compute these again for every element.
 
 SHINGLE = 5
-RADIUS, NEAR = 11, 2
-BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 15))
+RADIUS, NEAR = 14, 2
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 12), (51, 12))
 #: Stands for a block where a document shorter than the item is looked up by shingle.
 BY_SHINGLE = len(BLOCKS)
 #: Counters of eight bits hold so many words; longer items are cut into parts of this many.
 PART_WORDS = 120
-#: Rows of an item table up to which it is broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of an item table up to which it is broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64_000_000
 
 _ONES, _PICK, _SEVEN, _HIGH = 0x0001010101010101, 0x0040201008040201, 0x007F7F7F7F7F7F7F, 0x0080808080808080
 
@@ -89,94 +93,151 @@ def _neighbours(k: int, block: Column, size: int) -> Column:
 
 
 def _similarity(a: Column, b: Column) -> Column:
-    """Sum of the lesser over sum of the greater counts of each shingle."""
-    times = lambda v, x: F.size(F.filter(v, lambda y: y == x))
-    common = F.aggregate(F.array_distinct(b), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
-    return common / (F.size(a) + F.size(b) - common)
+    """Sum of the lesser over sum of the greater counts of each shingle: one pass over both, sorted together."""
+    both = F.sort_array(F.concat(F.transform(a, lambda x: F.struct(x.alias("x"), F.lit(0).alias("side"))), F.transform(b, lambda x: F.struct(x.alias("x"), F.lit(1).alias("side")))))
+    zero = F.lit(0)
+    start = F.struct(F.lit(None).cast("long").alias("x"), zero.alias("a"), zero.alias("b"), zero.alias("common"))
+
+    def step(s: Column, e: Column) -> Column:
+        same = s["x"].eqNullSafe(e["x"])
+        return F.struct(
+            e["x"].alias("x"),
+            (F.when(same, s["a"]).otherwise(0) + 1 - e["side"]).alias("a"),
+            (F.when(same, s["b"]).otherwise(0) + e["side"]).alias("b"),
+            (s["common"] + F.when(same, 0).otherwise(F.least(s["a"], s["b"]))).alias("common"),
+        )
+
+    common = F.aggregate(both, start, step, lambda s: s["common"] + F.least(s["a"], s["b"]))
+    return F.transform(F.array(common), lambda c: c / (F.size(a) + F.size(b) - c))[0]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast only if its size has been checked."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, arrays: tuple[str, ...] = ()) -> DataFrame:
+    """Broadcast only if its size in bytes has been checked."""
+    width = reduce(lambda n, c: n + 8 * F.coalesce(F.size(c), F.lit(0)), arrays, F.lit(64)).cast("long")
+    most = BROADCAST_BYTES // 64 + 1
+    total = df.limit(most).agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def item_parts(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item_id, m, shingles, h`` of each item, or of each part of a longer one; the last part ends with the item."""
+    """``item_id, m, whole, at, shingles, h, all`` of each item, or of each part of a longer one.
+
+    A part has m words from ``at`` on, of the item's ``whole`` number of words; the last part ends with the item.
+    ``all`` has the shingles of a whole item of several parts, and is null otherwise.
+    """
     rows = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col).cast("string")).alias("w")).where(F.size("w") >= SHINGLE)
+    rows = rows.select("item_id", _hashes(F.col("w")).alias("w"))
     n = F.size("w")
     starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PART_WORDS).cast("int")), lambda k: F.greatest(F.lit(0), F.least(k * PART_WORDS, n - PART_WORDS))))
-    parts = rows.withColumn("at", F.explode_outer(starts)).select("item_id", _hashes(F.slice("w", F.col("at") + 1, F.lit(PART_WORDS))).alias("h"))
-    return parts.select("item_id", F.size("h").alias("m"), _shingles(F.col("h")).alias("shingles"), "h").distinct()
+    parts = rows.withColumn("all", F.when(n > PART_WORDS, _shingles(F.col("w")))).withColumn("at", F.explode_outer(starts))
+    parts = parts.select("item_id", n.alias("whole"), "at", "all", F.slice("w", F.col("at") + 1, F.lit(PART_WORDS)).alias("h"))
+    return parts.select("item_id", F.size("h").alias("m"), "whole", "at", _shingles(F.col("h")).alias("shingles"), "h", "all").distinct()
 
 
 def _with_prefix(parts: DataFrame, t: Fraction) -> DataFrame:
-    """``parts`` with ``prefix``: so many of its rarest shingles that a text of similarity t has one of them."""
-    shared = parts.select(F.explode(F.array_distinct("shingles")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("held"))
-    each = parts.select("item_id", "m", "shingles", "h", F.explode("shingles").alias("x")).join(shared, "x")
-    size = F.size("shingles")
+    """``parts`` with ``prefix``: so many of the whole item's rarest shingles that a text of similarity t has one of them."""
+    own = parts.withColumn("of", F.coalesce("all", "shingles"))
+    shared = own.select("item_id", F.explode(F.array_distinct("of")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("held"))
+    each = own.select("item_id", "of").distinct().withColumn("x", F.explode("of")).join(shared, "x")
+    size = F.size("of")
     n = (size - F.ceil(size * t.numerator / t.denominator - 1e-9) + 1).cast("int")
     rarest = F.slice(F.array_sort(F.collect_list(F.struct("held", "x"))), F.lit(1), F.least(n, size))
-    return each.groupBy("item_id", "m", "shingles", "h").agg(rarest.alias("r")).select("item_id", "m", "shingles", "h", F.array_distinct(F.col("r.x")).alias("prefix"))
+    return each.groupBy("item_id", "of").agg(rarest.alias("r")).select("item_id", "of", F.array_distinct(F.col("r.x")).alias("prefix"))
+
+
+def _whole_matches(docs: DataFrame, items: DataFrame, item_col: str, item_text_col: str) -> DataFrame | None:
+    """Documents of the same words as an item that has fewer than a shingle; None if there is no such item."""
+    short = lambda df, names: df.select(*names, F.array_join(words(F.col("text")), " ").alias("w"), F.size(words(F.col("text"))).alias("n")).where(F.col("n").between(1, SHINGLE - 1))
+    asked = short(items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")), ["item_id"])
+    asked = asked.select("item_id", "w").distinct()
+    if not asked.take(1):
+        return None
+    found = short(docs, ["doc_id", "key"]).join(_small(asked), "w").select("doc_id", "item_id", F.lit(0).alias("start"), F.col("n").alias("n_words"), F.lit(1.0).alias("similarity"))
+    return found.distinct()
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, at_least: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, start, n_words, similarity, n_windows`` for each pair of row and item that match.
 
     A pair matches if a window of the row, of as many words as the item, has weighted Jaccard
-    similarity ``at_least`` on shingles of five words and a fingerprint within 11 of 63 bits. A row of
+    similarity ``at_least`` on shingles of five words and a fingerprint within 14 of 63 bits. A row of
     fewer words is one window, the whole of it, and matches by similarity alone. ``start`` is the best
     window's first word (the first of equal ones), ``n_words`` its number of words, ``n_windows`` how
-    many windows match.
-
-    Items of fewer than five words match nothing; null texts on either side match nothing. Rows of
-    one id and text give one result, rows of one id and different texts one together; a null id is an
-    id like any other, and items likewise. Columns not named are ignored; an empty table gives none.
+    many windows match. For an item of over 120 words, a window of 120 words must have that similarity and
+    fingerprint to a part of the item, and then the window of the item's length that begins where the item would
+    (or as near as the row allows) must have the similarity to the item; ``n_windows`` counts the latter.
+
+    An item of fewer than five words has no shingle; it matches rows of the same words only, similarity 1. Items
+    without words and null texts on either side match nothing. Rows of one id and text give one result, rows of
+    one id and different texts one together; a null id is an id like any other, and items likewise. Columns not
+    named are ignored; an empty table gives none.
     """
     parts = item_parts(items, item_col, item_text_col)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     keyed = source.withColumn("key", F.xxhash64("text"))
     hashed = lambda df: df.withColumn("h", _hashes(words(F.col("text")))).withColumn("s", _shingles(F.col("h")))
 
-    # Shared shingles: one row for each place of a document and size of item.
-    wanted = _small(parts.select("m", F.explode("shingles").alias("x")).distinct())
+    # Shared shingles: one row for each place of a document and shape of item: words of the part, of the item, place.
+    shape = ["m", "whole", "at"]
+    wanted = _small(parts.select(*shape, F.explode("shingles").alias("x")).distinct())
     places = hashed(keyed).select("doc_id", "key", F.posexplode_outer("s").alias("pos", "x"))
-    seeds = places.join(wanted, "x").groupBy(F.col("doc_id").alias("seed_doc"), F.col("key").alias("seed_key"), "m").agg(F.collect_set("pos").alias("seeds"))
+    seeds = places.join(wanted, "x").groupBy(F.col("doc_id").alias("seed_doc"), F.col("key").alias("seed_key"), *shape).agg(F.collect_set("pos").alias("seeds"))
 
     full = hashed(keyed.join(seeds, F.col("doc_id").eqNullSafe(F.col("seed_doc")) & (F.col("key") == F.col("seed_key"))).drop("seed_doc", "seed_key"))
-    full = full.select("doc_id", "s", "m", "seeds", F.size("h").alias("n"), *[_counters(F.col("h"), k).alias(f"c{k}") for k in range(9)])
-    m, n = F.col("m"), F.col("n")
-    # A shorter row can't reach the similarity if the share of its shingles is less.
-    full = full.where((m <= n) | (n - SHINGLE + 1 >= (m - SHINGLE + 1) * at_least - 1e-9)).withColumn("n_words", F.least(m, n))
+    full = full.select("doc_id", "s", *shape, "seeds", F.size("h").alias("n"), *[_counters(F.col("h"), k).alias(f"c{k}") for k in range(9)])
+    m, n, whole = F.col("m"), F.col("n"), F.col("whole")
+    # A row shorter than the item can't reach the similarity if the share of its shingles is less.
+    full = full.where((whole <= n) | (n - SHINGLE + 1 >= (whole - SHINGLE + 1) * at_least - 1e-9))
+    # Shorter than the item: the whole row is the window. Else of the part's length.
+    full = full.withColumn("n_words", F.when(whole > n, n).otherwise(m))
     size = F.col("n_words")
-    starts = F.flatten(F.transform("seeds", lambda p: F.sequence(F.greatest(F.lit(0), F.least(p - m + SHINGLE, n - m)), F.greatest(F.lit(0), F.least(p, n - m)))))
+    starts = F.when(whole > n, F.array(F.lit(0))).otherwise(F.flatten(F.transform("seeds", lambda p: F.sequence(F.greatest(F.lit(0), F.least(p - m + SHINGLE, n - m)), F.greatest(F.lit(0), F.least(p, n - m))))))
     counters = [F.col(f"c{k}") for k in range(9)]
-    window = F.transform(F.array_distinct(starts), lambda at: F.struct(at.alias("start"), F.slice("s", at + 1, size - SHINGLE + 1).alias("window"), _fingerprint(counters, at, size).alias("fp")))
-    windows = full.withColumn("w", F.explode_outer(window)).where("w is not null").select("doc_id", "m", "n_words", "w.start", "w.window", "w.fp")
 
-    item = _with_prefix(parts, Fraction(str(at_least))).select("item_id", "prefix", F.col("m").alias("item_m"), F.col("shingles").alias("item_shingles"), _fingerprint([_counters(F.col("h"), k) for k in range(9)], F.lit(0), F.col("m")).alias("item_fp"))
+    def window(at: Column) -> Column:
+        aligned = F.greatest(F.lit(0), F.least(at - F.col("at"), n - whole))
+        long = F.when((whole > m) & (whole <= n), F.struct(aligned.alias("start"), F.slice("s", aligned + 1, whole - SHINGLE + 1).alias("window")))
+        print_ = F.when(whole <= n, _fingerprint(counters, at, size))
+        return F.struct(at.alias("start"), F.slice("s", at + 1, size - SHINGLE + 1).alias("window"), print_.alias("fp"), long.alias("long"))
+
+    windows = full.withColumn("w", F.explode_outer(F.transform(F.array_distinct(starts), window))).where("w is not null").select("doc_id", *[F.col(c).alias(f"item_{c}") for c in shape], "n_words", "w.start", "w.window", "w.fp", "w.long")
+
+    item = parts.withColumn("of", F.coalesce("all", "shingles")).join(_with_prefix(parts, Fraction(str(at_least))).withColumnRenamed("item_id", "of_id"), ["of"]).where(F.col("item_id").eqNullSafe(F.col("of_id")))
+    item = item.select("item_id", "prefix", *[F.col(c).alias(f"item_{c}") for c in shape], F.col("shingles").alias("item_shingles"), F.col("of").alias("item_of"), _fingerprint([_counters(F.col("h"), k) for k in range(9)], F.lit(0), F.col("m")).alias("item_fp"))
     near = F.flatten(F.array(*[_neighbours(k, block, size) for k, (block, (_, size)) in enumerate(zip(_blocks(F.col("item_fp")), BLOCKS, strict=True))]))
-    by_block = item.select("item_m", "item_fp").distinct().withColumn("e", F.explode_outer(near)).select("item_m", "item_fp", "e.block", "e.value")
-    by_shingle = item.select("item_m", "item_fp", F.lit(BY_SHINGLE).alias("block"), F.explode("prefix").alias("value")).distinct()
+    fixed = ["item_m", "item_whole", "item_at", "item_fp"]
+    by_block = item.select(*fixed).distinct().withColumn("e", F.explode_outer(near)).select(*fixed, "e.block", "e.value")
+    by_shingle = item.select(*fixed, F.lit(BY_SHINGLE).alias("block"), F.explode("prefix").alias("value")).distinct()
     lookup = _small(by_block.unionByName(by_shingle))
 
     probe = lambda k, b: F.struct(F.lit(k).alias("block"), b.alias("value"))
-    shorter = F.col("n_words") < F.col("item_m")
+    shorter = F.col("fp").isNull()
     asked = F.when(shorter, F.transform(F.array_distinct("window"), lambda x: probe(BY_SHINGLE, x))).otherwise(F.array(*[probe(k, b) for k, b in enumerate(_blocks(F.col("fp")))]))
-    probes = windows.withColumnRenamed("m", "item_m").withColumn("e", F.explode_outer(asked))
-    met = probes.select("doc_id", "item_m", "n_words", "start", "window", "fp", "e.block", "e.value").join(lookup, ["block", "value", "item_m"])
+    probes = windows.withColumn("e", F.explode_outer(asked))
+    met = probes.select("doc_id", *fixed[:3], "n_words", "start", "window", "fp", "long", "e.block", "e.value").join(lookup, ["block", "value", *fixed[:3]])
     met = met.where(shorter | (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS))
     # A pair met in several blocks, or by several shingles, counts in its first only.
     differ = [F.bit_count(a.bitwiseXOR(b)) <= NEAR for a, b in zip(_blocks(F.col("fp")), _blocks(F.col("item_fp")), strict=True)]
-    first = F.when(differ[0], 0).when(differ[1], 1).when(differ[2], 2).otherwise(3)
+    first = reduce(lambda w, k: w.when(differ[k], k), range(1, len(BLOCKS)), F.when(differ[0], 0))
     once = shorter & (F.col("value") == F.get(F.filter("prefix", lambda x: F.array_contains(F.col("window"), x)), F.lit(0)))
-    met = met.where(shorter | (F.col("block") == first)).join(_small(item), ["item_m", "item_fp"]).where(~shorter | once)
-    sure = met.withColumn("similarity", _similarity(F.col("window"), F.col("item_shingles"))).where(F.col("similarity") >= at_least)
+    met = met.where(shorter | (F.col("block") == first)).join(_small(item, ("prefix", "item_shingles", "item_of")), fixed).where(~shorter | once)
+    # A row shorter than the item is held against all of it; else first against the part.
+    met = met.withColumn("similarity", _similarity(F.col("window"), F.when(shorter, F.col("item_of")).otherwise(F.col("item_shingles")))).where(F.col("similarity") >= at_least)
+    aligned = met.where("long is not null").select("doc_id", "item_id", F.col("long.start").alias("start"), F.col("item_whole").alias("n_words"), _similarity(F.col("long.window"), F.col("item_of")).alias("similarity")).where(F.col("similarity") >= at_least).distinct()
+    # A row shorter than a long item meets each of its parts, and counts once.
+    sure = met.where("long is null").select("doc_id", "item_id", "start", "n_words", "similarity")
+    short = _whole_matches(keyed, items, item_col, item_text_col)
+    sure = reduce(DataFrame.unionByName, [sure, aligned, *([short] if short is not None else [])]).distinct()
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("b")
     out = sure.groupBy("doc_id", "item_id").agg(best, F.count(F.lit(1)).alias("n_windows"))
     return out.select("doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"), F.round("b.similarity", 6).alias("similarity"), "n_windows")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, at_least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id has no leak (see :func:`find_leaks`); null ids stay."""
-    leaks = find_leaks(spark, docs, items, at_least, id_col, text_col).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col(id_col) == F.col("__leak"), "left_anti")
+    """The rows of ``docs``, all columns, that hold no leak (see :func:`find_leaks`).
+
+    Each row is decided by its own text: of rows that share an id, or have none, those with a leak go.
+    """
+    key = F.concat_ws(":", F.md5(F.col(text_col).cast("string")), F.xxhash64(F.col(text_col)).cast("string"))
+    leaks = find_leaks(spark, docs.select(key.alias("__key"), F.col(text_col).alias("__text")), items, at_least, "__key", "__text").select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(leaks, key == F.col("__leak"), "left_anti")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import Scratch
 from . import _text
+from ._spread import join_spread
 
 WORDS = 5
 #: Rows on each side of a tile.
@@ -329,10 +330,13 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
         scratch.drop(f"{name}-apart")
     roots = joined
 
-    final = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    final = final.withColumn("root", F.when(F.col("sig").isNotNull(), F.col("root")))
-    least = final.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = final.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # Least ids are found for classes; a class or component of a third of all rows is joined without one task for it.
+    classes = members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("own"), F.count(F.lit(1)).alias("rows")).join(roots.withColumnRenamed("node", "sig"), "sig", "left")
+    classes = scratch.put(classes.withColumn("root", F.coalesce("root", "sig")), "classes")
+    least = classes.groupBy("root").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("held"))
+    named = join_spread(classes, least, ["root"], "held", "sig").select("sig", "least", "rows")
+    final = join_spread(members.withColumn("salt", F.monotonically_increasing_id()), named, ["sig"], "rows", "salt")
+    out = final.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
     for name in ("tiles", "sizes"):
         scratch.drop(name)
     return out

@@ -6,7 +6,6 @@ from labelled rows that are in no dictionary (see :func:`fit`).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,12 +19,10 @@ PIECE_BYTES = 2048
 DIGITS = 6
 
 #: Margins by least number of bytes, where the labelled rows are too few to fit them. A tie is never accepted.
-MARGINS = ((0, 0.0), (32, 0.03), (128, 0.03), (512, 0.03))
+MARGINS = ((1, 0.0), (8, 0.01), (16, 0.02), (32, 0.03), (128, 0.03), (512, 0.03))
 #: Rows of a margin's fit at least, and rows of all languages at most, so that the driver's share is bounded.
 FEW_ROWS, MOST_ROWS = 50, 1024
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 def _compressors(dictionaries: dict[str, bytes], level: int) -> list:
     import zstandard as z
@@ -47,8 +44,8 @@ def _score(sizes: list[int]) -> float:
 
 def _margins(held: list[tuple[str, str]], dictionaries: dict[str, bytes], level: int) -> tuple[tuple[int, float], ...]:
     """The lesser of the 1st percentile of known languages' scores and the 99th of those left out, for each length."""
-    names, compressors, out = list(dictionaries), _compressors(dictionaries, level) if dictionaries else [], [MARGINS[0]]
-    for k, (low, default) in list(enumerate(MARGINS))[1:]:
+    names, compressors, out = list(dictionaries), _compressors(dictionaries, level) if dictionaries else [], []
+    for k, (low, default) in enumerate(MARGINS):
         high = MARGINS[k + 1][0] if k + 1 < len(MARGINS) else 2 * low
         known, left_out = [], []
         for i, (lang, text) in enumerate(held):
@@ -70,20 +67,22 @@ def _margins(held: list[tuple[str, str]], dictionaries: dict[str, bytes], level:
 
 
 def fit(
-    labelled: DataFrame, docs_per_language: int = 64, bytes_per_doc: int = 1024, max_languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", level: int = 6
+    labelled: DataFrame, docs_per_language: int = 64, bytes_per_doc: int = 1024, max_rows: int = 65_536, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", level: int = 6
 ) -> tuple[dict[str, bytes], tuple[tuple[int, float], ...]]:
     """A raw-content dictionary for each language, and the least score by number of bytes.
 
-    The bound of the fit: of each of the ``max_languages`` most frequent languages, the
-    ``docs_per_language`` rows of least hash of (id, text), each with ``bytes_per_doc`` characters
-    from its middle. The rows next in order, up to as many and MOST_ROWS in all, are for the margins: each is
-    scored once among all languages and once without its own. Rows without language or text take no part.
+    The bound of the fit: of each language, the ``docs_per_language`` rows of least hash of (id, text), each
+    with ``bytes_per_doc`` characters from its middle; with very many languages as many rows fewer as
+    ``max_rows`` rows in all allow (and beyond ``max_rows`` languages, the most frequent ones). The rows next in
+    order, up to as many and MOST_ROWS in all, are for the margins: each is scored once among all languages
+    and once without its own. Rows without language or without a letter take no part.
     """
-    rows = labelled.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and length(t) > 40")
+    rows = labelled.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
     rows = rows.select("l", F.xxhash64("i", F.md5("t")).alias("h"), F.lower(F.substring("t", F.greatest(F.lit(1), F.floor(F.length("t") / 2 - bytes_per_doc / 2).cast("int")), F.lit(bytes_per_doc))).alias("t"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
     # The most frequent language comes first.
-    langs = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages)
+    langs = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_rows)
+    docs_per_language = max(1, min(docs_per_language, max_rows // max(1, langs.count())))
     picked = rows.withColumn("r", rank).where(F.col("r") <= 2 * docs_per_language)
     out: dict[str, list[str]] = {}
     held: list[tuple[str, str]] = []
@@ -106,41 +105,68 @@ def train_dictionaries(labelled: DataFrame, *args, **kwargs) -> dict[str, bytes]
     return fit(labelled, *args, **kwargs)[0]
 
 
+class Classifier:
+    """Guesses a language; sent to tasks, which make the compressors."""
+
+    def __init__(self, dictionaries: dict[str, bytes], margins: tuple[tuple[int, float], ...] = MARGINS, level: int = 6):
+        self.dictionaries, self.margins, self.level = dictionaries, margins, level
+        self.names = list(dictionaries)
+        self.made: list | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "made": None}
+
+    def guess(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, whether it is accepted."""
+        if text is None or not self.names or not any(map(str.isalpha, text)):
+            return UNDETERMINED, 0.0, False
+        if self.made is None:
+            self.made = _compressors(self.dictionaries, self.level)
+        data = text.lower().encode()
+        sizes = _sizes(data, self.made)
+        score = round(_score(sizes), DIGITS)
+        return self.names[sizes.index(min(sizes))], score, score > 0 and score >= [m for low, m in self.margins if low <= len(data)][-1]
+
+    def column(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        found = [self.guess(t) for t in texts.to_pylist()]
+        return tuple(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))
+
+
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margins: tuple[tuple[int, float], ...] = MARGINS, level: int = 6, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, lang_pred, score, accepted`` for each row, and the columns in ``keep``.
 
     A text is lower-cased and cut into pieces of 2,048 bytes; the sizes of all its pieces are summed
     for each language. ``score`` is the share by which the smallest sum is below the next one (1 if
     there is one language only). A score under the margin for the text's number of bytes is too narrow, and the
-    row isn't ``accepted``; ``lang_pred`` is still the best guess. Under 32 bytes any lead is enough. Ties
-    go to the dictionary that comes first, of the most frequent language, and are never accepted.
+    row isn't ``accepted``; ``lang_pred`` is still the best guess. Ties go to the dictionary that comes first, of
+    the most frequent language, and are never accepted.
 
     A null text, or one without a letter, or without any dictionary, is ``und`` with score 0, not
     accepted. Ids may be null or repeat; texts of any length are read whole; columns not named are
-    ignored; an empty table gives none.
+    ignored, and kept ones that have the name of a result give way to it; an empty table gives none.
     """
-    names = list(dictionaries)
-    held: dict[int, list] = {}
-
-    def compressors() -> list:
-        if level not in held:
-            held[level] = _compressors(dictionaries, level)
-        return held[level]
-
-    def guess(text: str | None) -> tuple[str, float, bool]:
-        if text is None or not names or not _LETTER.search(text):
-            return UNDETERMINED, 0.0, False
-        data = text.lower().encode()
-        sizes = _sizes(data, compressors())
-        score = round(_score(sizes), DIGITS)
-        return names[sizes.index(min(sizes))], score, score > 0 and score >= [m for low, m in margins if low <= len(data)][-1]
+    model = Classifier(dictionaries, margins, level)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [guess(t) for t in batch.column(0).to_pylist()]
-            lang, score, accepted = ([x[k] for x in found] for k in (0, 1, 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=[*batch.schema.names[1:], "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *model.column(batch.column(0))], names=[*batch.schema.names[1:], "lang_pred", "score", "accepted"])
 
-    source = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep if c != "doc_id"])
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in ("doc_id", "lang_pred", "score", "accepted"))
+    source = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("doc_id"), *[F.col(f"`{c}`") for c in keep])
     schema = source.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
     return source.mapInArrow(task, schema)
+
+
+def keep_accepted(docs: DataFrame, dictionaries: dict[str, bytes], margins: tuple[tuple[int, float], ...] = MARGINS, level: int = 6, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is accepted (see :func:`identify`).
+
+    Each row is decided by its own text, whatever its id; columns may have any names. Null texts go.
+    """
+    model = Classifier(dictionaries, margins, level)
+    at = docs.columns.index(text_col)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(model.column(batch.column(at).cast(pa.string()))[2])
+
+    return docs.mapInArrow(task, docs.schema)

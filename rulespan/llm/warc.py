@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
+from ._spread import join_spread
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -26,8 +27,6 @@ DATE = "2000-01-01T00:00:00Z"
 FILE_CAPTURES, FILE_BYTES = 4000, 1 << 28
 #: Payloads up to each of these sizes are written to files of their own, and larger ones too.
 CLASSES = (1 << 16, 1 << 22)
-#: The payloads or originals that most captures share: so many are joined by broadcast, and all others by shuffle.
-HEAVY = 1024
 #: A response of a few bytes more than its payload: status line and headers.
 _READ = 1 << 20
 
@@ -52,23 +51,6 @@ def _urn(kind: str, key: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), *[x for a, n in ((9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.lit("-"), F.substring(h, a, n))], F.lit(">"))
 
 
-def _join_spread(many: DataFrame, few: DataFrame, key: list[str], order: str, salt: str) -> DataFrame:
-    """``many`` left-joined with ``few``, which has each key once; no key brings many rows to one task.
-
-    The HEAVY keys with the greatest ``order`` are joined by broadcast: their number is fixed. Rows that they take
-    go on under keys of their own, by ``salt``, so the shuffle deals them evenly. ``order`` isn't in the result.
-    """
-    few = Scratch(few.sparkSession, "warc-keys").put(few, "keys")
-    names = [c for c in few.columns if c not in key and c != order]
-    heavy = few.orderBy(F.desc(order), *key).limit(HEAVY).select(*key, F.struct(*names).alias("__heavy"))
-    rest = few.select(F.to_json(F.struct(*key)).alias("__key"), F.struct(*names).alias("__rest"))
-    rows = many.join(F.broadcast(heavy), key, "left")
-    alone = F.concat(F.lit("-"), F.col(salt))
-    rows = rows.withColumn("__key", F.when(F.col("__heavy").isNotNull(), alone).otherwise(F.to_json(F.struct(*key))))
-    out = rows.join(rest, "__key", "left")
-    return out.select(*many.columns, *[F.coalesce(F.col(f"__heavy.{n}"), F.col(f"__rest.{n}")).alias(n) for n in names])
-
-
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
     """Writes each row as a transaction of three records under ``path``.
 
@@ -92,7 +74,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
     else:
         rows = rows.withColumn("row", F.concat_ws(":", page, "digest"))
     newest = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("k"), "row")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = _join_spread(rows, newest, ["digest", "bytes"], "n", "row")
+    rows = join_spread(rows, newest, ["digest", "bytes"], "n", "row")
     revisit = F.col("top").isNotNull() & (F.coalesce("id", F.lit(-(2**63))) < F.col("top.k"))
 
     key = F.col("row")
@@ -221,7 +203,7 @@ def assemble(records: DataFrame) -> DataFrame:
     # Only captures that refer to another are joined; many can refer to one.
     columns = ["capture_key", "target", "response", "request", "metadata"]
     revisits = whole.where("refers_to is not null").withColumn("own", response["record_id"])
-    met = _join_spread(revisits, wanted.join(origin, "refers_to"), ["refers_to"], "n", "own").select(*columns, "original")
+    met = join_spread(revisits, wanted.join(origin, "refers_to"), ["refers_to"], "n", "own").select(*columns, "original")
     alone = whole.where("refers_to is null").select(*columns, F.lit(None).cast(met.schema["original"].dataType).alias("original"))
     return alone.unionByName(met)
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 queries = pytest.importorskip("rulespan.llm.queries")
-from rulespan.llm import decontaminate, jaccard_join, language_id, packing, secret_scan, sharding, substring_dedup, token_counts, topk, warc  # noqa: E402
+from rulespan.llm import _spread, decontaminate, jaccard_join, language_id, packing, secret_scan, sharding, substring_dedup, token_counts, topk, warc  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", None, "one", "a b c", " \n\t ", "a a a a a a a a a a a a a a a a a a a a a a a a a a", "x\x1cy z   w\n\n \n end ", "don't <|endoftext|> stop's", "Élan ÉTÉ 中文 ́x \x00nul", "p" * 3000, " lead", "trail \n"]
@@ -232,15 +232,71 @@ def test_decontamination(spark, data, docs):
     changed = texts[2][1].split(" ")
     changed[1] = "altered"
     long = " ".join(f"w{k}" for k in range(300))
-    rows = [(1, clean + texts[0][1].upper() + " " + clean), (2, clean), (3, clean + " ".join(changed)), (4, None), (5, ""), (6, texts[1][1]), (6, texts[1][1]), (7, "z " * 50 + long[:1200]), (None, texts[3][1])]
+    rows = [(8, "Too, SHORT!"), (9, "it is too short"), (1, clean + texts[0][1].upper() + " " + clean), (2, clean), (3, clean + " ".join(changed)), (4, None), (5, ""), (6, texts[1][1]), (6, texts[1][1]), (7, "z " * 50 + " ".join(long.split()[:280])), (10, " ".join(long.split()[:150])), (11, clean + " ".join(long.split()[30:]) + clean), (None, texts[3][1])]
     items = items.unionByName(spark.createDataFrame([(900, "too short"), (901, None), (902, long)], "item_id long, text string"))
     got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in decontaminate.find_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
-    assert set(got) == {(1, 0), (3, 2), (6, 1), (7, 902), (None, 3)}
+    assert set(got) == {(1, 0), (3, 2), (6, 1), (7, 902), (11, 902), (8, 900), (None, 3)}
     assert got[1, 0] == (15, len(texts[0][1].split()), 1.0) and 0.75 <= got[3, 2][2] < 1
     found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark, docs, items).collect()}
     assert found >= {(r.doc_id, i) for r in docs.collect() if r.text and r.doc_id is not None for i, t in texts if t in r.text}
 
 
+def grams(w):
+    return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+
+
+def weighted(a, b):
+    return (a & b).total() / max(1, (a | b).total())
+
+
+def test_decontamination_against_every_window(spark, data):
+    """All windows of all texts against all items, brute force, with items changed at many places and one of 400 words; and the radius's recall."""
+    items = spark.read.parquet(f"{data}/benchmark.parquet")
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").where("length(text) < 2500").orderBy("doc_id").limit(60).collect()]
+    clean = lambda t: re.findall(r"[^\W_]+", t.lower())
+    texts = {r.item_id: clean(r.text) for r in items.collect()}
+    texts[950] = [f"v{k % 230}" if k % 7 else "of" for k in range(400)]
+    items = items.unionByName(spark.createDataFrame([(950, " ".join(texts[950]))], "item_id long, text string"))
+    rng = np.random.default_rng(4)
+    base = [clean(t) for _, t in docs]
+    rows = [(d, t) for d, t in docs]
+    for n, (_, w) in enumerate(4 * list(texts.items())):
+        w = list(w)
+        for _ in range(int(rng.integers(0, 1 + len(w) // 18))):
+            k = int(rng.integers(len(w)))
+            w[k : k + int(rng.integers(0, 3))] = [["new"], []][int(rng.integers(2))]
+        host = base[n % len(base)]
+        at = int(rng.integers(len(host) + 1))
+        rows.append((10_000 + n, " ".join(host[:at] + w + host[at:])))
+    want = {}
+    for d, t in rows:
+        w = clean(t)
+        for i, x in texts.items():
+            g, m = grams(x), len(x)
+            if len(w) >= m and set(g) & set(grams(w)):
+                best = max(weighted(grams(w[s : s + m]), g) for s in range(len(w) - m + 1))
+                if best >= 0.75:
+                    want[d, i] = round(best, 6)
+    found = decontaminate.find_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), items).collect()
+    got = {(r.doc_id, r.item_id): r.similarity for r in found if len(clean(dict(rows)[r.doc_id])) >= len(texts[r.item_id])}
+    assert set(got) <= set(want) and all(got[k] <= want[k] for k in got)
+    assert len(want) > 60 and len(got) >= 0.97 * len(want), {k: want[k] for k in set(want) - set(got)}
+    assert sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
+    assert any((10_000 + k * len(texts) - 1, 950) in got for k in range(1, 5))
+
+
+def test_decontamination_of_odd_rows(spark, data):
+    """Ties, empty tables on either side, clashing names; rows that share an id, or have none, are decided one by one."""
+    items = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (None, None), (3, "")], "item_id long, text string").selectExpr("*", "1 as doc_id", "2 as m", "3 as start")
+    rows = [(5, "x y z a b c d e f g h a b c d e f g h"), (5, "clean words only here now"), (None, "a b c d e f g h"), (None, "other clean words"), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as key", "3 as similarity", "4 as whole")
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity, r.n_windows) for r in decontaminate.find_leaks(spark, docs, items).collect()}
+    assert got == {(5, 1): (3, 1.0, 2), (5, 2): (3, 1.0, 2), (None, 1): (0, 1.0, 1), (None, 2): (0, 1.0, 1)}
+    kept = decontaminate.drop_leaks(spark, docs, items)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.where("text is not null and doc_id is not null").collect()) == [(5, rows[1][1]), (7, "")] and kept.count() == 4
+    assert decontaminate.find_leaks(spark, docs.limit(0), items).count() == 0 and decontaminate.drop_leaks(spark, docs, items.limit(0)).count() == len(rows)
+
+
 def test_decontamination_of_shorter_documents(spark, data):
     """Items with words missing, alone in a document: all whose similarity is 0.75 or more, and no others."""
     items = spark.read.parquet(f"{data}/benchmark.parquet")
@@ -255,9 +311,6 @@ def test_decontamination_of_shorter_documents(spark, data):
             cut += [w[:-k], w[k:], w[:at] + w[at + k :]]
     cut = [w for w in cut if len(w) >= 1]
 
-    def grams(w):
-        return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
-
     held = {i: (len(w), grams(w)) for i, w in texts}
     want = {}
     for d, w in enumerate(cut):
@@ -311,7 +364,7 @@ def test_warc_joins_spread_hot_keys(spark, tmp_path, monkeypatch):
     """Many pages with one payload, pages of several sizes, files of few captures, columns with clashing names."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(warc, "HEAVY", 2)
+    monkeypatch.setattr(_spread, "HEAVY", 2)
     monkeypatch.setattr(warc, "CLASSES", (8, 100))
     monkeypatch.setattr(warc, "FILE_BYTES", 400)
     bodies = lambda k: "hot" if k % 3 == 0 else "warm" if k % 7 == 0 else f"pair {k // 4}" if k % 2 else "l" * (k % 150)
@@ -418,6 +471,24 @@ def test_language_id(spark, data, docs):
     assert all(0 <= r.score <= 1 for r in odd.values())
 
 
+def test_language_of_odd_texts(spark, data):
+    """Numbers are no letters; short texts have margins too; a language of short texts is learned; kept columns may have any names."""
+    table = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    dictionaries, margins = language_id.fit(table)
+    assert [low for low, _ in margins] == [low for low, _ in language_id.MARGINS] and margins[0][0] == 1
+    frame = spark.createDataFrame([(1, "\u00bd \u00b2 12", 1), (2, "12 34", 2), (3, None, 3), (4, "der und die", 4)], "doc_id long, text string, score int").selectExpr("*", "'k' as accepted")
+    got = {r.doc_id: r for r in language_id.identify(frame, dictionaries, margins, keep=("score", "accepted", "text")).collect()}
+    assert [got[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and not any(got[k].accepted for k in (1, 2, 3)) and got[4].text == "der und die"
+    kept = language_id.keep_accepted(table.selectExpr("*", "1 as score", "2 as accepted"), dictionaries, margins)
+    assert kept.columns == [*table.columns, "score", "accepted"] and 0.95 * table.count() < kept.count() <= table.where("text is not null").count()
+    short = spark.createDataFrame([(k, f"zqxv wvzqk kkqx {k}" if k % 2 else f"aeiou oui ouea {k}", "zz" if k % 2 else "aa") for k in range(40)], "doc_id long, text string, lang string")
+    few, _ = language_id.fit(short)
+    assert set(few) == {"aa", "zz"} and {r.lang_pred for r in language_id.identify(short.where("lang = 'zz'"), few).collect()} == {"zz"}
+    many = spark.createDataFrame([(k, f"word{k} text", f"l{k}") for k in range(50)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(many, max_rows=60)[0]) == 50
+    assert language_id.identify(frame.limit(0), dictionaries).count() == 0
+
+
 def test_language_rejects_what_it_does_not_know(spark, data):
     """A language left out of the fit, letters at random, and texts too short to tell."""
     table = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet").where("length(text) between 300 and 4000")
