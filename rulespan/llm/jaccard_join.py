@@ -207,7 +207,7 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
 
     # What bounds the overlap of the sets that meet any other.
     met = tiles.select("sig").distinct()
-    size = seen.where("is_doc").join(met, "sig", "left_semi").select("sig", "n", "bits").dropDuplicates(["sig"])
+    size = seen.where("is_doc and sig is not null").select("sig", "n", "bits").dropDuplicates(["sig"]).join(met, "sig", "left_semi")
     size = scratch.put(size, "sizes")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
