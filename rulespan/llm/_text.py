@@ -20,6 +20,17 @@ U64 = np.uint64
 _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
 
+def small_batches(spark) -> None:
+    """Arrow batches of some megabytes for whole texts, unless the session has set sizes of its own.
+
+    With Spark's default of 10,000 rows, a batch of long texts takes its size several times over in the executor's
+    memory and in the worker's.
+    """
+    for key, default, value in (("maxRecordsPerBatch", "10000", "4096"), ("maxBytesPerBatch", "67108864b", "16m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
 def column(batch: pa.RecordBatch, k: int = 0) -> list[bytes | None]:
     """A string column as bytes."""
     return batch.column(k).cast(pa.large_binary() if pa.types.is_large_string(batch.column(k).type) else pa.binary()).to_pylist()

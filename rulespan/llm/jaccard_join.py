@@ -38,8 +38,8 @@ WORDS = 5
 TILE = 2048
 #: Pairs between two components that each task of the first of two such rounds gives on.
 FEW = 4
-#: Pairs that a task remembers at most; others may be given again, from another tile.
-PAIRS_KEPT = 1_000_000
+#: Pairs, or sets, that a task remembers at most; others may be given again, from another tile.
+PAIRS_KEPT = 250_000
 #: A shingle in so many documents of one slice is reported; so many in all make it common.
 REPORTED, COMMON = 3, 24
 #: Common shingles that are put last at most. Any order gives the same links; others stay in place.
@@ -130,6 +130,7 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
     A null id is never the least; a component of null ids only has a null component_id. Rows that
     repeat an id count as rows of their own. Columns not named are ignored; an empty table gives none.
     """
+    _text.small_batches(spark)
     sim = Similarity(at_least)
     scratch = Scratch(spark, "jaccard", release=True)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -175,7 +176,7 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                     own = values[cut[i] : cut[i + 1]]
                     if not len(own) or (sig := signature(own)) in done:
                         continue
-                    if len(done) < 1_000_000:
+                    if len(done) < PAIRS_KEPT:
                         done.add(sig)
                     f = frequent[cut[i] : cut[i + 1]]
                     p = sim.prefix(len(own))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _text
+
 UNDETERMINED = "und"
 #: A text is compressed in pieces, each against the bare dictionary, so that a long text doesn't become its own.
 PIECE_BYTES = 2048
@@ -146,6 +148,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margins: tuple[tup
     ignored, and kept ones that have the name of a result give way to it; an empty table gives none.
     """
     model = Classifier(dictionaries, margins, level)
+    _text.small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,6 +166,7 @@ def keep_accepted(docs: DataFrame, dictionaries: dict[str, bytes], margins: tupl
     Each row is decided by its own text, whatever its id; columns may have any names. Null texts go.
     """
     model = Classifier(dictionaries, margins, level)
+    _text.small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

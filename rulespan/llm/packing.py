@@ -124,6 +124,7 @@ def pack(
     gapless.
     """
     end = end_id.to_bytes(4, "little")
+    _text.small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocab.word_ids(vocabulary)
