@@ -223,11 +223,14 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, at_least:
     met = met.where(shorter | (F.col("block") == first)).join(_small(item, ("prefix", "item_shingles", "item_of")), fixed).where(~shorter | once)
     # A row shorter than the item is held against all of it; else first against the part.
     met = met.withColumn("similarity", _similarity(F.col("window"), F.when(shorter, F.col("item_of")).otherwise(F.col("item_shingles")))).where(F.col("similarity") >= at_least)
-    aligned = met.where("long is not null").select("doc_id", "item_id", F.col("long.start").alias("start"), F.col("item_whole").alias("n_words"), _similarity(F.col("long.window"), F.col("item_of")).alias("similarity")).where(F.col("similarity") >= at_least).distinct()
-    # A row shorter than a long item meets each of its parts, and counts once.
-    sure = met.where("long is null").select("doc_id", "item_id", "start", "n_words", "similarity")
+    far = F.col("long").isNotNull()
+    exact = F.when(far, _similarity(F.col("long.window"), F.col("item_of"))).otherwise(F.col("similarity"))
+    sure = met.select("doc_id", "item_id", F.coalesce("long.start", "start").alias("start"), F.when(far, F.col("item_whole")).otherwise(F.col("n_words")).alias("n_words"), exact.alias("similarity"))
+    # Parts that lead to one window, and those of a long item that a shorter row meets, count once.
+    sure = sure.where(F.col("similarity") >= at_least).distinct()
     short = _whole_matches(keyed, items, item_col, item_text_col)
-    sure = reduce(DataFrame.unionByName, [sure, aligned, *([short] if short is not None else [])]).distinct()
+    if short is not None:
+        sure = sure.unionByName(short)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("b")
     out = sure.groupBy("doc_id", "item_id").agg(best, F.count(F.lit(1)).alias("n_windows"))
     return out.select("doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"), F.round("b.similarity", 6).alias("similarity"), "n_windows")
