@@ -6,10 +6,12 @@ all can be compared, grouped and collected.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalar import _true, define
+from .scalar import _true, define, split_args
 
 
 def as_set(x: Column) -> Column:
@@ -92,3 +94,58 @@ define("multiset-not-contains-swapped", f"$t {B}", "Unit", lambda x, m: _true(_c
 define("multiset-sum", f"{B} {B}", B, lambda a, b: _sum_counts(F.concat(a, b)))
 define("multiset-intersection", f"{B} {B}", B, lambda a, b: F.filter(F.transform(a, lambda e: F.struct(e["v"].alias("v"), F.least(e["c"], _count(b, e["v"])).alias("c"))), lambda e: e["c"] > 0))
 define("multiset-reset-counts", B, B, lambda a: F.transform(a, lambda e: F.struct(e["v"].alias("v"), F.lit(1).cast("long").alias("c"))))
+
+#: Empty containers; what they hold is found from where they stand.
+EMPTY = {"vec-empty": "Vec<?>", "set-empty": "Set<?>", "map-empty": "Map<?,?>"}
+
+
+def _scaled(outer: Column) -> Column:
+    """All (v, c) of multisets in a multiset, counts multiplied."""
+    return F.flatten(F.transform(outer, lambda e: F.transform(e["v"], lambda i: F.struct(i["v"].alias("v"), (i["c"] * e["c"]).alias("c")))))
+
+
+define("multiset-sum-multisets", "MultiSet<MultiSet<$t>>", B, lambda m: _sum_counts(_scaled(m)))
+
+
+def id_elements(value: Column, sort: str, is_id) -> Column | None:
+    """All ids in a container value as one array; None if its sort has none."""
+    kind, parts = sort.split("<", 1)[0], split_args(sort)
+    inner = [(None if "<" not in p else p, is_id(p)) for p in parts]
+
+    def part(name: str | None):
+        return lambda e: e[name] if name else e
+
+    def of(x: Column, k: int) -> Column | None:
+        return F.array(x) if inner[k][1] else id_elements(x, inner[k][0], is_id) if inner[k][0] else None
+
+    fields = {"Vec": [None], "Set": [None], "MultiSet": ["v"], "Map": ["k", "v"], "Pair": ["a", "b"]}.get(kind, [])
+    found = []
+    for k, name in enumerate(fields):
+        if kind == "Pair":
+            found.append(of(value[name], k))
+        elif inner[k][1]:
+            found.append(F.transform(value, part(name)))
+        elif inner[k][0] and of(F.lit(None), k) is not None:
+            found.append(F.flatten(F.transform(F.transform(value, part(name)), partial(lambda k, e: of(e, k), k))))
+    found = [f for f in found if f is not None]
+    return F.concat(*found) if found else None
+
+
+def renamed(value: Column, sort: str, is_id, name) -> Column:
+    """A container value with ``name`` put on every id in it, and in order again."""
+    kind, parts = sort.split("<", 1)[0], split_args(sort)
+    on = lambda x, k: name(x) if is_id(parts[k]) else renamed(x, parts[k], is_id, name) if "<" in parts[k] else x
+    if kind == "Vec":
+        return F.transform(value, lambda e: on(e, 0))
+    if kind == "Set":
+        return as_set(F.transform(value, lambda e: on(e, 0)))
+    if kind == "MultiSet":
+        return _sum_counts(F.transform(value, lambda e: F.struct(on(e["v"], 0).alias("v"), e["c"].alias("c"))))
+    if kind == "Pair":
+        return F.struct(on(value["a"], 0).alias("a"), on(value["b"], 1).alias("b"))
+    if kind == "Map":
+        # Of keys that become one, the greatest value stays.
+        entries = F.transform(value, lambda e: F.struct(on(e["k"], 0).alias("k"), on(e["v"], 1).alias("v")))
+        keys = as_set(F.transform(entries, lambda e: e["k"]))
+        return F.transform(keys, lambda k: F.array_max(F.filter(entries, lambda e: e["k"] == k)))
+    return value

@@ -8,18 +8,31 @@ changed since it last ran (semi-naive).
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..plans.parser import Lit, ProgramError, Sym, options, read
-from ..plans.rules import Compiler, Query, atom_frame, evaluate, literal
+from ..plans.rules import Compiler, Query, applied, atom_frame, empty, evaluate, literal
+from ..functions import containers
+from ..plans.sorts import BASE
 from .components import connected_components
-from .store import BASE, Store, Table, spark_type
-
+from .extraction import Extraction
+from .function_values import FunctionValues, fn_sort, moved_functions, moved_values
+from .inspection import Inspection
+from .persistence import DECLARE, Persistence
+from .schedulers import LimitReached, Scheduler
+from .store import Store, Table
+from .tracing import Event, Tracing
+
+#: Moved ids (two numbers each) up to which they are broadcast.
+BROADCAST_ROWS = 500_000
 LATTICE = {"min": F.min, "max": F.max, "or": F.bool_or, "and": F.bool_and}
 
 
@@ -32,6 +45,9 @@ class Rule:
     last: int = 0
     matches: int = 0
     fired: bool = False
+    runs: int = 0
+    seconds: float = 0.0
+    host: Callable | None = None  # takes the matches and gives rows by table, in place of actions
 
 
 @dataclass
@@ -41,6 +57,12 @@ class Effects:
     hidden: dict[str, list[DataFrame]] = field(default_factory=dict)
     edges: list[DataFrame] = field(default_factory=list)
 
+    def add(self, other: Effects) -> None:
+        for mine, theirs in ((self.staged, other.staged), (self.removed, other.removed), (self.hidden, other.hidden)):
+            for name, dfs in theirs.items():
+                mine.setdefault(name, []).extend(dfs)
+        self.edges += other.edges
+
 
 @dataclass
 class Report:
@@ -51,11 +73,25 @@ class Report:
         return Report(self.updated or other.updated, self.can_stop and other.can_stop)
 
 
-class Program:
-    """A database of declared tables and rules."""
-
-    def __init__(self, spark: SparkSession, naive: bool = False):
-        self.spark, self.naive = spark, naive
+class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
+    """A database of declared tables and rules.
+
+    ``naive`` joins all rows in every step; ``trace`` keeps what rules did (see :class:`Tracing`); ``stats`` counts
+    matches, at the price of writing them once. ``most_steps`` and ``most_rows`` bound a run: a step beyond them
+    is undone and raises :class:`LimitReached`.
+    """
+
+    def __init__(self, spark: SparkSession, naive: bool = False, trace: bool = False, stats: bool = False, most_steps: int | None = None, most_rows: int | None = None):
+        self.spark, self.naive, self.tracing, self.stats = spark, naive, trace, stats
+        self.most_steps, self.most_rows, self.steps_run = most_steps, most_rows, 0
+        self.events: list[Event] = []
+        self.rebuilt: list[tuple[int, DataFrame]] = []  # with trace: pairs that became equal since their arguments did
+        self.declared: list = []  # commands that declare something, in order
+        self.macros: dict[str, Callable[[list], object]] = {}  # name -> rewrites an expression that begins with it
+        self.command_macros: list[Callable[[list], list]] = []  # each rewrites a command to commands
+        self.host_prims: dict[str, list[tuple[list[str], str, Callable, str]]] = {}
+        self.waiting: dict[int, DataFrame] = {}  # matches that a scheduler holds back, by rule
+        self.resumed: dict = {}
         self.store = Store(spark)
         self.sorts: dict[str, str] = {}  # name -> what it stands for; itself for ids
         self.tables: dict[str, Table] = {}
@@ -66,11 +102,14 @@ class Program:
         self.stack: list[tuple] = []
         self.outputs: list[str] = []
         self.commands = {}
+        self.fn_uses: set[tuple[str, tuple[str, ...]]] = set()  # names given to unstable-fn, and the sorts given with them
 
     # -- declarations -------------------------------------------------------------------------
 
     def sort(self, x) -> str:
         if isinstance(x, list):
+            if x[0].name == "UnstableFn":
+                return fn_sort([self.sort(a) for a in x[1]], self.sort(x[2]))
             return f"{x[0].name}<{','.join(self.sort(a) for a in x[1:])}>"
         name = x.name if isinstance(x, Sym) else x
         if name in BASE or name == "BigRat" or "<" in name:
@@ -97,12 +136,17 @@ class Program:
         if kind == "constructor" and not self.is_id(result):
             raise ProgramError(f"{name}: a constructor's result must be a declared sort")
         if kind == "function" and merge is None:
-            raise ProgramError(f"{name}: functions are required to specify merge behaviour")
+            raise ProgramError(f"{name}: :merge or :no-merge is missing")
         t = Table(name, kind, sorts, None if result == "Unit" else result, merge, cost, extractable)
-        t.ids = [i for i, s in enumerate([*sorts, *([t.out] if t.out else [])]) if self.is_id(s)]
+        self._find_ids(t)
         self.tables[name] = t
         return t
 
+    def _find_ids(self, t: Table) -> None:
+        sorts = [*t.args, *([t.out] if t.out else [])]
+        t.ids = [i for i, s in enumerate(sorts) if self.is_id(s)]
+        t.boxed = {i: s for i, s in enumerate(sorts) if "<" in s and (s.startswith("UnstableFn<") or containers.id_elements(F.lit(None), s, self.is_id) is not None)}
+
     def relation(self, name: str, args: list) -> Table:
         return self.declare(name, "relation", args)
 
@@ -114,20 +158,30 @@ class Program:
 
     # -- facts --------------------------------------------------------------------------------
 
-    def load(self, name: str, df: DataFrame) -> None:
-        """Adds rows: keys, then the value of a function. Rows with a null are left out."""
+    def load(self, name: str, df: DataFrame, nulls: str = "drop") -> int:
+        """Adds rows: keys, then the value of a function. How many rows the table has more is returned.
+
+        There are no nulls in tables: rows with one are left out, or with ``nulls="error"`` make the whole load fail
+        before anything is changed.
+        """
         t = self.tables[name]
         n = len(t.args) + (t.kind == "function" and t.out is not None)
         if len(df.columns) != n:
             raise ProgramError(f"{name} takes {n} columns, not {len(df.columns)}")
         cols = [F.col(f"`{c}`").cast(t.schema[k].dataType).alias(k) for c, k in zip(df.columns, t.columns, strict=False)]
-        rows = df.select(*cols).dropna()
+        rows, before = df.select(*cols), t.rows
+        if nulls == "error" and cols:
+            rows = self.store.keep(rows)
+            if rows.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in rows.columns])).take(1):
+                raise ProgramError(f"{name}: a row with a null")
+        rows = rows.dropna()
         if t.kind == "constructor":
             rows = rows.distinct()
             old = self.store.read(t)
             rows = rows.join(old.select(*t.keys), t.keys, "left_anti") if t.keys else rows
             rows = rows.withColumn("ret", self._mint(t, [F.col(k) for k in t.keys]))
         self._apply(Effects(staged={name: [rows.withColumn("sub", F.lit(False))]}))
+        return self.tables[name].rows - before
 
     def _mint(self, t: Table, keys: list[Column]) -> Column:
         """An id for a new row: a hash of constructor, keys and step, so equal terms of a step are one."""
@@ -142,11 +196,29 @@ class Program:
             self.command(command)
         return self.outputs[before:]
 
+    def expanded(self, x):
+        """An expression with all macros in it applied, outer ones first."""
+        for _ in range(1000):
+            if isinstance(x, list) and x and isinstance(x[0], Sym) and x[0].name in self.macros:
+                x = self.macros[x[0].name](x)
+            else:
+                return [self.expanded(a) for a in x] if isinstance(x, list) else x
+        raise ProgramError("a macro doesn't end")
+
     def command(self, c: list) -> None:
         if not isinstance(c, list) or not c or not isinstance(c[0], Sym):
             raise ProgramError(f"not a command: {c}")
+        many = [self.expanded(c)] if self.macros else [c]
+        for macro in self.command_macros:
+            many = [d for m in many for d in macro(m)]
+        for c in many:
+            self._command(c)
+
+    def _command(self, c: list) -> None:
         head = c[0].name
         args, named = options(c[1:])
+        if head in DECLARE and head not in self.commands:
+            self.declared.append(c)
         if head in self.commands:
             self.commands[head](self, args)
         elif head == "sort":
@@ -166,7 +238,7 @@ class Program:
             self.declare(args[0].name, "constructor", args[1], args[2], "union", named["cost"].value if "cost" in named else 1, "unextractable" not in named)
         elif head == "function":
             if ("merge" in named) == ("no-merge" in named):
-                raise ProgramError(f"{args[0]}: functions are required to specify merge behaviour")
+                raise ProgramError(f"{args[0]}: one of :merge and :no-merge is needed")
             self.declare(args[0].name, "function", args[1], args[2], named.get("merge", "no-merge"), 1, "unextractable" not in named)
         elif head == "relation":
             self.declare(args[0].name, "relation", args[1])
@@ -177,9 +249,11 @@ class Program:
         elif head == "rule":
             self.rule(args[0], args[1], named)
         elif head in ("rewrite", "birewrite"):
-            self.rewrite(args[0], args[1], named)
-            if head == "birewrite":
-                self.rewrite(args[1], args[0], named)
+            both = head == "birewrite"
+            name = named["name"].value if "name" in named else None
+            self.rewrite(args[0], args[1], {**named, **({"name": Lit(f"{name}=>")} if both and name else {})})
+            if both:
+                self.rewrite(args[1], args[0], {**named, **({"name": Lit(f"{name}<=")} if name else {})})
         elif head == "let":
             self.let(args[0].name, args[1])
         elif head == "run":
@@ -192,9 +266,14 @@ class Program:
             if not self.check(args):
                 raise ProgramError(f"check failed: {args}")
         elif head == "fail":
+            state = self._state()
             try:
                 self.command(args[0])
-            except Exception:  # noqa: BLE001  any failure is what the command asks for
+            except (ProgramError, PySparkException) as e:
+                # What the command had done by then is undone. Failures that aren't of the program go on.
+                if not isinstance(e, ProgramError) and "USER_RAISED_EXCEPTION" not in str(e):
+                    raise
+                self._restore(state)
                 return
             raise ProgramError(f"command was to fail: {args[0]}")
         elif head == "extract":
@@ -205,10 +284,20 @@ class Program:
             names = [args[0].name] if args else sorted(n for n in self.tables if n not in self.globals)
             self.outputs += [str(self.size(n)) if args else f"{n}: {self.size(n)}" for n in names]
         elif head == "print-function":
-            rows = self.rows(args[0].name).limit(args[1].value if len(args) > 1 else 1000).collect()
-            self.outputs += ["(" + " ".join([args[0].name, *map(str, r)]) + ")" for r in rows]
+            path = named["file"].value if "file" in named else None
+            mode = getattr(named.get("mode"), "name", "default")
+            self.outputs += self.print_function(args[0].name, args[1].value if len(args) > 1 else None, path, mode)
         elif head == "print-stats":
-            self.outputs += [f"{r.name}: {r.matches}" for rs in self.rulesets.values() for r in rs]
+            self.outputs += self.stats_lines()
+        elif head == "prove":
+            if not self.check(args):
+                raise ProgramError(f"nothing to prove: {args}")
+            self.outputs += [line for f in args for line in self.prove(f).lines()]
+        elif head == "prove-exists":
+            row = self.rows(args[0].name).first()
+            if row is None:
+                raise ProgramError(f"{args[0]} is empty")
+            self.outputs += self.prove([args[0], *map(Lit, row)]).lines()
         elif head == "push":
             for _ in range(args[0].value if args else 1):
                 self.stack.append(self._state())
@@ -235,10 +324,10 @@ class Program:
     def _state(self) -> tuple:
         rules = {k: list(v) for k, v in self.rulesets.items()}
         marks = {id(r): (r.last, r.fired) for v in rules.values() for r in v}
-        return {k: t.copy() for k, t in self.tables.items()}, dict(self.sorts), dict(self.globals), rules, marks, dict(self.combined)
+        return {k: t.copy() for k, t in self.tables.items()}, dict(self.sorts), dict(self.globals), rules, marks, dict(self.combined), list(self.declared), dict(self.waiting)
 
     def _restore(self, state: tuple) -> None:
-        self.tables, self.sorts, self.globals, self.rulesets, marks, self.combined = state
+        self.tables, self.sorts, self.globals, self.rulesets, marks, self.combined, self.declared, self.waiting = state
         for v in self.rulesets.values():
             for r in v:
                 r.last, r.fired = marks[id(r)]
@@ -259,7 +348,7 @@ class Program:
         q = compiler.query(facts)
         name = named["name"].value if "name" in named else f"rule{sum(map(len, self.rulesets.values()))}"
         r = Rule(name, q, actions, "naive" in named)
-        self._validate(actions, set(q.sorts))
+        self._validate(actions, set(q.sorts), r.naive)
         self.rulesets[rs].append(r)
         return r
 
@@ -269,7 +358,41 @@ class Program:
         actions = [[Sym("union"), v, right], *([[Sym("subsume"), left]] if "subsume" in named else [])]
         self.rule(facts, actions, named)
 
-    def _validate(self, actions: list, bound: set[str]) -> None:
+    def host_rule(self, facts: str, f: Callable[[DataFrame], dict[str, DataFrame]], ruleset: str = "", name: str | None = None, naive: bool = False) -> Rule:
+        """A rule whose head is a function: it takes the matches, a column for each variable, and gives rows by table.
+
+        Rows have a table's keys and then its value, in order, as for :meth:`load`; a constructor's have its keys only.
+        """
+        rule = self.rule(read(facts), [], {"ruleset": Sym(ruleset)} if ruleset else {})
+        rule.host, rule.naive, rule.name = f, naive, name or rule.name
+        return rule
+
+    def primitive(self, name: str, args: list[str], result: str, f: Callable, context: str = "pure") -> None:
+        """A function of one's own.
+
+        ``pure``: ``f(*columns)`` gives a column, null where it has no result; usable anywhere, in all programs of the
+        process. Others take ``f(program, df, columns, effects)`` and give ``df, column``: ``write`` may add effects
+        and is for actions; ``read`` and ``full`` see the tables, so they are for commands and ``:naive`` rules.
+        """
+        if context not in ("pure", "write", "read", "full"):
+            raise ProgramError(f"no context {context}")
+        sorts = [self.sort(a) for a in args]
+        if context == "pure":
+            scalar.define(name, " ".join(sorts), self.sort(result), f)
+        else:
+            self.host_prims.setdefault(name, []).append((sorts, self.sort(result), f, context))
+
+    def add_ruleset(self, name: str) -> None:
+        self.command([Sym("ruleset"), Sym(name)])
+
+    def add_sort(self, name: str, of: str | None = None) -> None:
+        self.command([Sym("sort"), Sym(name), *(read(of) if of else [])])
+
+    def add_rule(self, facts: str, actions: str, ruleset: str = "", name: str | None = None) -> None:
+        named = [*([Sym(":ruleset"), Sym(ruleset)] if ruleset else []), *([Sym(":name"), Lit(name)] if name else [])]
+        self.command([Sym("rule"), read(facts), read(actions), *named])
+
+    def _validate(self, actions: list, bound: set[str], naive: bool = False) -> None:
         """Static checks of a rule's head."""
 
         def see(x) -> None:
@@ -281,7 +404,9 @@ class Program:
                 t = self.tables.get(name)
                 if t and t.kind == "function" and name not in self.globals:
                     raise ProgramError(f"{name}: functions can't be looked up in rule actions")
-                if not t and name not in scalar.TABLE and name not in ("vec-empty", "set-empty", "map-empty"):
+                if not naive and any(p[3] in ("read", "full") for p in self.host_prims.get(name, [])):
+                    raise ProgramError(f"{name} sees tables: the rule must be :naive")
+                if not t and name not in scalar.TABLE and name not in containers.EMPTY and name not in self.SPECIAL and name not in self.host_prims:
                     raise ProgramError(f"unbound function {name}")
                 if t and len(x) - 1 != len(t.args):
                     raise ProgramError(f"{name} takes {len(t.args)} arguments, not {len(x) - 1}")
@@ -353,15 +478,78 @@ class Program:
             n += 1
         return n
 
-    def run_step(self, ruleset: str = "") -> Report:
-        effects = Effects()
-        now = self.step
-        for r in self.members(ruleset):
+    def run_step(self, ruleset: str = "", scheduler: Scheduler | None = None) -> Report:
+        """One step of a ruleset: all rules match the same snapshot, then all effects are applied."""
+        effects, now, state = Effects(), self.step, self._state()
+        if self.most_steps is not None and self.steps_run >= self.most_steps:
+            raise LimitReached(f"more than {self.most_steps} steps")
+        rules, events = self.members(ruleset), []
+        for r in rules:
+            began = time.time()
             matches = self._matches(r)
             r.last = now
+            if scheduler:
+                matches = self._scheduled(r, matches, scheduler)
             if matches is not None:
-                self._act(r.actions, matches, effects, {k: v for k, v in r.query.sorts.items()}, rule=True)
-        return Report(updated=self._apply(effects))
+                if self.stats or self.tracing:
+                    matches = self.store.keep(matches)
+                    r.matches += matches.count()
+                own = Effects()
+                if r.host:
+                    self._host(r, matches, own)
+                else:
+                    self._act(r.actions, matches, own, dict(r.query.sorts), rule=True)
+                if self.tracing:
+                    events.append(self._event(now, r, matches, own))
+                effects.add(own)
+            r.runs, r.seconds = r.runs + 1, r.seconds + time.time() - began
+        updated = self._apply(effects)
+        self.steps_run += 1
+        if self.most_rows is not None and (most := max((t.rows for t in self.tables.values()), default=0)) > self.most_rows:
+            self._restore(state)
+            raise LimitReached(f"a table of {most} rows, more than {self.most_rows}")
+        self.events += events
+        return Report(updated=updated, can_stop=scheduler.can_stop(rules) if scheduler else True)
+
+    def saturate_with(self, scheduler: Scheduler, ruleset: str = "") -> int:
+        """Steps under a scheduler until nothing changes and nothing is held back; returns how many."""
+        n = 0
+        while True:
+            n += 1
+            report = self.run_step(ruleset, scheduler)
+            if not report.updated and report.can_stop:
+                return n
+
+    def _scheduled(self, r: Rule, matches: DataFrame | None, scheduler: Scheduler) -> DataFrame | None:
+        held = self.waiting.pop(id(r), None)
+        offered = matches if held is None else held if matches is None else matches.unionByName(held)
+        if offered is None:
+            return None
+        now, later = scheduler.choose(r, self.store.keep(offered) if offered.columns else offered)
+        if later is not None:
+            self.waiting[id(r)] = self.store.keep(later)
+        return now
+
+    def _host(self, r: Rule, matches: DataFrame, effects: Effects) -> None:
+        shown = matches.select(*[c for c in matches.columns if c[0] != "_" and not c.endswith("!")])
+        for name, df in (r.host(shown) or {}).items():
+            t = self.tables[name]
+            own = t.keys if t.kind == "constructor" else t.columns
+            rows = df.select(*[F.col(f"`{c}`").cast(t.schema[k].dataType).alias(k) for c, k in zip(df.columns, own, strict=True)]).dropna()
+            if t.kind == "constructor":
+                self._call(rows.distinct(), t, [F.col(k) for k in t.keys], effects)
+            else:
+                effects.staged.setdefault(name, []).append(rows.withColumn("sub", F.lit(False)))
+
+    def _event(self, now: int, r: Rule, matches: DataFrame, effects: Effects) -> Event:
+        staged = {n: self.store.keep(reduce(DataFrame.unionByName, dfs)) for n, dfs in effects.staged.items()}
+        edges = self.store.keep(reduce(DataFrame.unionByName, effects.edges)) if effects.edges else None
+        return Event(now, r, matches, staged, edges)
+
+    def stats_lines(self) -> list[str]:
+        """Of each rule: steps it was searched in, matches (counted with ``stats`` or ``trace`` only), seconds to plan and count them."""
+        counted = self.stats or self.tracing
+        return [f"{r.name}: {r.runs} runs, {f'{r.matches} matches, ' if counted else ''}{r.seconds:.3f} s" for rs in self.rulesets.values() for r in rs]
 
     def _matches(self, r: Rule) -> DataFrame | None:
         """Matches with at least one atom changed since the rule last ran; None if surely none."""
@@ -394,6 +582,8 @@ class Program:
         """Top-level actions."""
         effects = Effects()
         self._act(actions, self.spark.range(1).select(), effects, {}, rule=False)
+        if self.tracing and effects.edges:
+            self.events.append(Event(self.step, None, self.spark.range(1).select(), {}, self.store.keep(reduce(DataFrame.unionByName, effects.edges))))
         self._apply(effects)
 
     def let(self, name: str, x) -> None:
@@ -401,15 +591,13 @@ class Program:
         df, value, sort = self._value(self.spark.range(1).select(), x, effects, {}, False)
         row = self.store.keep(df.select(value.alias("ret")))
         self._apply(effects)
-        t = self.declare(name, "function", [], Sym(sort) if sort in self.sorts else sort, "no-merge", extractable=False)
+        t = self.declare(name, "function", [], sort, "no-merge", extractable=False)
         self.globals[name] = sort
-        t.ids = [0] if self.is_id(sort) else []
-        if t.ids:
-            row = row.withColumn("ret", F.col("ret"))
+        self._find_ids(t)
         self.store.put(t, row.withColumn("ts", F.lit(self.step - 1).cast("long")).withColumn("sub", F.lit(False)))
 
-    def _value(self, df: DataFrame, x, effects: Effects, sorts: dict[str, str], rule: bool) -> tuple[DataFrame, Column, str]:
-        """Evaluates an expression for every match; constructors get or make their rows."""
+    def _value(self, df: DataFrame, x, effects: Effects, sorts: dict[str, str], rule: bool, want: str | None = None) -> tuple[DataFrame, Column, str]:
+        """Evaluates an expression for every match; constructors get or make their rows. ``want`` is the sort needed, if known."""
         if isinstance(x, Lit):
             return df, literal(x), x.sort
         if isinstance(x, Sym):
@@ -422,38 +610,58 @@ class Program:
                 return df, F.col(f"`{c}`"), self.globals[x.name]
             raise ProgramError(f"unbound variable {x.name}")
         name, cols, kinds = x[0].name, [], []
-        for a in x[1:]:
-            df, c, s = self._value(df, a, effects, sorts, rule)
+        t = self.tables.get(name)
+        if t is None and name in containers.EMPTY and len(x) == 1:
+            sort = scalar.unified(want or "?", containers.EMPTY[name])
+            if sort is None:
+                raise ProgramError(f"{name} is no {want}")
+            return df, empty(sort), sort
+        if t is None and name in self.SPECIAL:
+            df, value, sort = self.special(name, df, x, effects, sorts, rule, want)
+            return df, F.coalesce(value, F.raise_error(F.lit(f"{name} has no result"))), sort
+        for k, a in enumerate(x[1:]):
+            df, c, s = self._value(df, a, effects, sorts, rule, t.args[k] if t and k < len(t.args) else None)
             cols.append(c)
             kinds.append(s)
-        t = self.tables.get(name)
+        if t is None and name in self.host_prims:
+            for takes, gives, f, _ in self.host_prims[name]:
+                if takes == kinds:
+                    df, value = f(self, df, cols, effects)
+                    return df, F.coalesce(value, F.raise_error(F.lit(f"{name} has no result"))), gives
         if t is None:
-            if name in ("vec-empty", "set-empty", "map-empty"):
-                raise ProgramError(f"{name}: use the -of form")
-            found = scalar.find(name, kinds)
+            found = applied(name, cols, kinds)
             if not found:
                 raise ProgramError(f"{name}: no definition for {' '.join(kinds)}")
-            value = found[0](*cols)
-            return df, F.coalesce(value, F.raise_error(F.lit(f"{name} has no result"))), found[1]
+            return df, F.coalesce(found[0], F.raise_error(F.lit(f"{name} has no result"))), found[1]
         if kinds != t.args:
             raise ProgramError(f"{name} takes {' '.join(t.args)}, not {' '.join(kinds)}")
+        df, value = self._call(df, t, cols, effects)
+        if t.kind == "function":
+            value = F.coalesce(value, F.raise_error(F.lit(f"{name} has no value")))
+        return df, value, t.out or "Unit"
+
+    def _call(self, df: DataFrame, t: Table, cols: list[Column], effects: Effects, here: Column | None = None) -> tuple[DataFrame, Column]:
+        """A table's value for each row: a constructor's is made where there is none, a relation's row is added. Null where ``here`` is false."""
+        name = t.name
         at = f"_c{len(df.columns)}_{len(effects.staged.get(name, []))}"
         keys = [f"{at}_k{i}" for i in range(len(cols))]
-        df = df.select("*", *[c.alias(k) for c, k in zip(cols, keys, strict=True)])
-        old = self.store.read(t).select(*[F.col(k).alias(n) for k, n in zip(t.keys, keys, strict=True)], *([F.col("ret").alias(f"{at}_ret")] if t.out else []))
+        df = df.select("*", *[c.alias(k) for c, k in zip(cols, keys, strict=True)], (F.lit(True) if here is None else here).alias(f"{at}_here"))
+        wanted = df.where(f"{at}_here")
+        own = [F.col(k).alias(n) for k, n in zip(keys, t.keys, strict=True)]
         if t.kind == "relation":
-            effects.staged.setdefault(name, []).append(df.select(*[F.col(k).alias(n) for k, n in zip(keys, t.keys, strict=True)], F.lit(False).alias("sub")).distinct())
-            return df, F.lit(True), "Unit"
-        if t.kind == "function":
-            df = df.join(old, keys, "left") if keys else df.join(old, F.lit(True), "left")
-            return df, F.coalesce(F.col(f"{at}_ret"), F.raise_error(F.lit(f"{name} has no value"))), t.out
+            effects.staged.setdefault(name, []).append(wanted.select(*own, F.lit(False).alias("sub")).distinct())
+            return df, F.when(F.col(f"{at}_here"), F.lit(True))
+        old = self.store.read(t).select(*[F.col(k).alias(n) for k, n in zip(t.keys, keys, strict=True)], F.col("ret").alias(f"{at}_ret"))
         df = df.join(old, keys, "left") if keys else df.join(old, F.lit(True), "left")
+        if t.kind == "function":
+            return df, F.when(F.col(f"{at}_here"), F.col(f"{at}_ret"))
         minted = self._mint(t, [F.col(k) for k in keys])
-        fresh = df.where(F.col(f"{at}_ret").isNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, t.keys, strict=True)], minted.alias("ret"), F.lit(False).alias("sub"))
+        fresh = df.where(F.col(f"{at}_here") & F.col(f"{at}_ret").isNull()).select(*own, minted.alias("ret"), F.lit(False).alias("sub"))
         effects.staged.setdefault(name, []).append(fresh.distinct())
-        return df.withColumn(f"{at}_id", F.coalesce(F.col(f"{at}_ret"), minted)), F.col(f"{at}_id"), t.out
+        df = df.withColumn(f"{at}_id", F.when(F.col(f"{at}_here"), F.coalesce(F.col(f"{at}_ret"), minted)))
+        return df, F.col(f"{at}_id")
 
-    def _act(self, actions: list, df: DataFrame, effects: Effects, sorts: dict[str, str], rule: bool) -> None:
+    def _act(self, actions: list, df: DataFrame, effects: Effects, sorts: dict[str, str], rule: bool, keep: list[str] | None = None) -> None:
         for a in actions:
             head = a[0].name if isinstance(a, list) and a else None
             if head == "let":
@@ -466,11 +674,11 @@ class Program:
                     raise ProgramError(f"can't set {a[1][0].name}")
                 cols = []
                 for x, want in zip([*a[1][1:], a[2]], [*t.args, t.out or "Unit"], strict=True):
-                    df, c, s = self._value(df, x, effects, sorts, rule)
+                    df, c, s = self._value(df, x, effects, sorts, rule, want)
                     if s != want:
                         raise ProgramError(f"{t.name}: {s} is no {want}")
                     cols.append(c)
-                effects.staged.setdefault(t.name, []).append(df.select(*[c.alias(k) for c, k in zip(cols, t.columns, strict=False)], F.lit(False).alias("sub")))
+                effects.staged.setdefault(t.name, []).append(df.select(*[c.alias(k) for c, k in zip(cols, t.columns, strict=False)], F.lit(False).alias("sub"), *(keep or [])))
             elif head == "union":
                 df, x, s = self._value(df, a[1], effects, sorts, rule)
                 df, y, s2 = self._value(df, a[2], effects, sorts, rule)
@@ -482,14 +690,21 @@ class Program:
                 if t is None or head == "subsume" and t.kind == "function":
                     raise ProgramError(f"can't {head} {a[1][0].name}")
                 cols = []
-                for x in a[1][1:]:
-                    df, c, _ = self._value(df, x, effects, sorts, rule)
+                for x, want in zip(a[1][1:], t.args, strict=True):
+                    df, c, _ = self._value(df, x, effects, sorts, rule, want)
                     cols.append(c)
                 part = effects.removed if head == "delete" else effects.hidden
                 part.setdefault(t.name, []).append(df.select(*[c.alias(k) for c, k in zip(cols, t.keys, strict=True)]).distinct())
             elif head == "panic":
                 if df.limit(1).count():
                     raise ProgramError(f"panic: {a[1].value}")
+            elif keep and isinstance(a, list) and (t := self.tables.get(a[0].name)) and t.kind == "relation":
+                # As above, with the columns that tell the match.
+                cols = []
+                for x, want in zip(a[1:], t.args, strict=True):
+                    df, c, _ = self._value(df, x, effects, sorts, rule, want)
+                    cols.append(c)
+                effects.staged.setdefault(t.name, []).append(df.select(*[c.alias(k) for c, k in zip(cols, t.columns, strict=True)], F.lit(False).alias("sub"), *keep))
             else:
                 df, c, s = self._value(df, a, effects, sorts, rule)
 
@@ -498,9 +713,10 @@ class Program:
     def _apply(self, effects: Effects) -> bool:
         """Applies staged effects; True if any row is new, changed, hidden or gone."""
         now, changed = self.step, False
-        edges = [self.store.keep(reduce(DataFrame.unionByName, effects.edges).distinct())] if effects.edges else []
-        # All is read before anything is written.
-        staged = {n: self.store.keep(reduce(DataFrame.unionByName, dfs)) for n, dfs in effects.staged.items()}
+        made = Effects(edges=[self.store.keep(reduce(DataFrame.unionByName, effects.edges).distinct())] if effects.edges else [])
+        # All reads what was there before: segments are never overwritten. What is used once isn't written first.
+        once = lambda n: self.tables[n].kind != "function"
+        staged = {n: (lambda df, n=n: df if once(n) else self.store.keep(df))(reduce(DataFrame.unionByName, dfs)) for n, dfs in effects.staged.items()}
         removed = {n: self.store.keep(reduce(DataFrame.unionByName, dfs).distinct()) for n, dfs in effects.removed.items()}
         hidden = {n: self.store.keep(reduce(DataFrame.unionByName, dfs).distinct()) for n, dfs in effects.hidden.items()}
         for name in {**staged, **removed, **hidden}:
@@ -510,15 +726,20 @@ class Program:
                 self.store.put(t, self.store.read(t).join(removed[name], t.keys, "left_anti"))
                 changed |= t.rows < before
             if name in staged:
-                changed |= self._insert(t, staged[name], now, edges)
+                changed |= self._insert(t, staged[name], now, made)
             if name in hidden and t.rows:
                 changed |= self._hide(t, hidden[name], now)
-        self.step += 1
+        edges, made.edges = made.edges, []
+        if made.staged:
+            # Rows that merges made; their own merges can make more.
+            changed |= self._apply(made)
+        else:
+            self.step += 1
         if edges and self._rebuild(edges):
             changed = True
         return changed
 
-    def _insert(self, t: Table, new: DataFrame, now: int, edges: list[DataFrame]) -> bool:
+    def _insert(self, t: Table, new: DataFrame, now: int, effects: Effects) -> bool:
         new = new.withColumn("ts", F.lit(now).cast("long"))
         if t.kind == "relation" or t.kind == "constructor":
             unique = new.groupBy(*t.keys).agg(*([F.min("ret").alias("ret")] if t.out else []), F.min("ts").alias("ts"), F.bool_or("sub").alias("sub")) if t.keys else new.limit(1)
@@ -527,13 +748,13 @@ class Program:
                 unique = unique.join(old, t.keys, "left_anti") if t.keys else unique.limit(0)
             return self.store.append(t, unique) > 0
         if not t.rows:
-            merged = self._merged(t, new.withColumn("old", F.lit(False)), now, edges)
+            merged = self._merged(t, new.withColumn("old", F.lit(False)), now, effects)
             return self.store.append(t, merged) > 0
         # Only keys that the step touched are merged; the rest is carried over.
         old = self.store.read(t)
-        touched = self.store.keep(new)
+        touched = new
         both = touched.withColumn("old", F.lit(False)).unionByName(old.join(touched.select(*t.keys).distinct(), t.keys, "left_semi").withColumn("old", F.lit(True)) if t.keys else old.withColumn("old", F.lit(True)))
-        merged = self.store.keep(self._merged(t, both, now, edges))
+        merged = self.store.keep(self._merged(t, both, now, effects))
         fresh = merged.where(F.col("ts") == now)
         if not fresh.take(1):
             return False
@@ -541,7 +762,7 @@ class Program:
         self.store.put(t, rest.unionByName(fresh))
         return True
 
-    def _merged(self, t: Table, rows: DataFrame, now: int, edges: list[DataFrame]) -> DataFrame:
+    def _merged(self, t: Table, rows: DataFrame, now: int, effects: Effects) -> DataFrame:
         """One row a key. Values merge in ascending order, the held one first."""
         grouped = rows.groupBy(*t.keys)
         held = [F.max(F.when(F.col("old"), F.col("ret"))).alias("was"), F.max(F.when(F.col("old"), F.col("ts"))).alias("was_ts"), F.bool_or("sub").alias("sub")]
@@ -554,14 +775,26 @@ class Program:
                 raise ProgramError(f"{t.name}: two values for one key, and no merge")
             out = out.drop("other")
         elif m == "union":
-            out = grouped.agg(*held, F.min("ret").alias("ret"), F.max("ret").alias("other"), F.collect_set("ret").alias("all"))
-            pairs = out.where("ret <> other").select(F.col("ret").alias("a"), F.explode("all").alias("b")).where("a <> b")
-            edges.append(self.store.keep(pairs))
-            out = out.drop("other", "all")
+            # Each value is joined with the key's least one: no list of values, and a hot key can be split.
+            out = self.store.keep(grouped.agg(*held, F.min("ret").alias("ret"), F.max("ret").alias("other")))
+            unequal = out.where("ret <> other").select(*t.keys, F.col("ret").alias("a"))
+            both = rows.select(*t.keys, F.col("ret").alias("b"))
+            pairs = both.join(unequal, t.keys) if t.keys else both.crossJoin(unequal)
+            effects.edges.append(self.store.keep(pairs.select("a", "b").where("a <> b").distinct()))
+            out = out.drop("other")
         elif name in LATTICE:
             out = grouped.agg(*held, LATTICE[name]("ret").alias("ret"))
         elif name == "set-union":
-            out = grouped.agg(*held, F.array_sort(F.array_distinct(F.flatten(F.collect_list("ret")))).alias("ret"))
+            # Elements are made distinct before they are gathered.
+            some = rows.select(*t.keys, F.explode("ret").alias("e")).distinct().groupBy(*t.keys).agg(F.array_sort(F.collect_list("e")).alias("ret"))
+            out = grouped.agg(*held)
+            out = (out.join(some, t.keys, "left") if t.keys else out.join(some, F.lit(True), "left")).withColumn("ret", F.coalesce("ret", F.array().cast(rows.schema["ret"].dataType)))
+        elif self._calls_tables(m):
+            return self._merged_by_tables(t, rows, now, effects).select(*t.columns, "ts", "sub")
+        elif name == "+" and t.out in ("i64", "f64"):
+            # Sums need no list of values; whole numbers are summed wide, and a sum out of range is none.
+            total = F.sum(F.col("ret").cast("decimal(38,0)")).try_cast("long") if t.out == "i64" else F.sum("ret")
+            out = grouped.agg(*held, total.alias("ret"))
         elif m == Sym("old"):
             out = grouped.agg(*held, F.min(F.when(~F.col("old"), F.col("ret"))).alias("first")).withColumn("ret", F.coalesce("was", "first")).drop("first")
         elif m == Sym("new"):
@@ -574,19 +807,51 @@ class Program:
         same = F.col("was").isNotNull() & F.col("ret").eqNullSafe(F.col("was"))
         return out.withColumn("ts", F.when(same, F.col("was_ts")).otherwise(F.lit(now).cast("long"))).select(*t.columns, "ts", "sub")
 
+    def _calls_tables(self, m) -> bool:
+        return isinstance(m, list) and (m[0].name in self.tables or m[0].name in self.SPECIAL or any(self._calls_tables(a) for a in m[1:]))
+
+    def _merged_by_tables(self, t: Table, rows: DataFrame, now: int, effects: Effects) -> DataFrame:
+        """Values of a key merge one after another, the held one first, by an expression that makes rows of its own.
+
+        Each round merges the next value of every key, so there are as many rounds as the key with most values has.
+        A value equal to the one so far changes nothing.
+        """
+        held = [F.max(F.when(F.col("old"), F.col("ts"))).alias("was_ts"), F.bool_or("sub").alias("sub")]
+        values = F.array_sort(F.collect_set(F.struct((~F.col("old")).alias("late"), "ret")))
+        left = self.store.keep(rows.groupBy(*t.keys).agg(*held, F.transform(values, lambda s: s["ret"]).alias("values")))
+        left = left.withColumn("old", F.get("values", F.lit(0))).withColumn("was", F.when(F.col("was_ts").isNotNull(), F.col("old")))
+        most, done = left.agg(F.max(F.size("values"))).first()[0] or 0, []
+        names = [*t.keys, "was_ts", "was", "sub", "values", "old"]
+        for k in range(1, most):
+            done.append(left.where(F.size("values") <= k).select(*names))
+            df = left.where(F.size("values") > k).withColumn("new", F.get("values", F.lit(k)))
+            same = df.where(F.col("old").eqNullSafe(F.col("new"))).select(*names)
+            df = df.where(~F.col("old").eqNullSafe(F.col("new")))
+            df, value, sort = self._value(df, t.merge, effects, {"old": t.out, "new": t.out}, True, t.out)
+            if sort != t.out:
+                raise ProgramError(f"{t.name}: the merge gives {sort}, not {t.out}")
+            merged = df.withColumn("merged!", value).select(*[F.col("merged!").alias("old") if n == "old" else F.col(n) for n in names])
+            left = self.store.keep(merged.unionByName(same))
+        out = reduce(DataFrame.unionByName, done, left.select(*names)).withColumnRenamed("old", "ret")
+        unchanged = F.col("was").isNotNull() & F.col("ret").eqNullSafe(F.col("was"))
+        return out.withColumn("ts", F.when(unchanged, F.col("was_ts")).otherwise(F.lit(now).cast("long")))
+
     def _merge_value(self, t: Table, x, old: Column, new: Column) -> Column:
         def value(x) -> tuple[Column, str]:
             if x in (Sym("old"), Sym("new")):
                 return (old if x.name == "old" else new), t.out
             if isinstance(x, Lit):
                 return literal(x), x.sort
-            if not isinstance(x, list) or x[0].name in self.tables:
-                raise ProgramError(f"{t.name}: a merge can only call primitives")
+            if not isinstance(x, list):
+                raise ProgramError(f"{t.name}: a merge knows old and new only")
+            if x[0].name in containers.EMPTY and len(x) == 1:
+                sort = scalar.unified(t.out, containers.EMPTY[x[0].name]) or containers.EMPTY[x[0].name]
+                return empty(sort), sort
             parts = [value(a) for a in x[1:]]
-            found = scalar.find(x[0].name, [s for _, s in parts])
+            found = applied(x[0].name, [c for c, _ in parts], [s for _, s in parts])
             if not found:
                 raise ProgramError(f"{t.name}: no definition of {x[0].name}")
-            return found[0](*[c for c, _ in parts]), found[1]
+            return found
 
         return value(x)[0]
 
@@ -610,19 +875,28 @@ class Program:
                 return any_change
             any_change = True
             moved = self.store.keep(connected_components(self.spark, pairs).where("node <> root").distinct())
-            now, edges = self.step, []
-            for t in self.tables.values():
-                if not t.ids or not t.rows:
+            now = self.step
+            if moved.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+                moved = F.broadcast(moved)  # two numbers a row, so at most some megabytes
+            made = Effects()
+            for t in list(self.tables.values()):
+                if not (t.ids or t.boxed) or not t.rows:
                     continue
                 rows, names = self.store.read(t), t.columns
-                for i in t.ids:
-                    c = names[i]
-                    rows = rows.join(moved.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+                maps = {i: moved.select(F.col("node").alias(names[i]), F.col("root").alias(f"{names[i]}_root")) for i in t.ids}
+                for i, sort in t.boxed.items():
+                    values = rows.select(F.col(names[i]).alias("old")).distinct()
+                    found = moved_functions(values, self.fn_uses, self.is_id, moved) if sort.startswith("UnstableFn<") else moved_values(values, sort, self.is_id, moved)
+                    if found is not None:
+                        maps[i] = found.select(F.col("old").alias(names[i]), F.col("new").alias(f"{names[i]}_root"))
+                if not maps:
+                    continue
                 touched = F.lit(False)
-                for i in t.ids:
+                for i, m in maps.items():
+                    rows = rows.join(m, names[i], "left")
                     touched = touched | F.col(f"{names[i]}_root").isNotNull()
                 rows = rows.withColumn("hit", touched)
-                for i in t.ids:
+                for i in maps:
                     rows = rows.withColumn(names[i], F.coalesce(F.col(f"{names[i]}_root"), F.col(names[i])))
                 rows = self.store.keep(rows.withColumn("ts", F.when(F.col("hit"), F.lit(now).cast("long")).otherwise(F.col("ts"))).select(*names, "ts", "sub", "hit"))
                 if not rows.where("hit").take(1):
@@ -631,9 +905,15 @@ class Program:
                     rows = rows.groupBy(*names).agg(F.min("ts").alias("ts"), F.bool_or("sub").alias("sub"))
                 else:
                     # Rows of one key: the one that stayed is the held one.
-                    rows = self._merged(t, rows.withColumn("old", ~F.col("hit")).drop("hit"), now, edges)
+                    rows = self._merged(t, rows.withColumn("old", ~F.col("hit")).drop("hit"), now, made)
                 self.store.put(t, rows)
+            edges = made.edges
+            if self.tracing:
+                self.rebuilt += [(now, self.store.keep(e)) for e in edges]
             self.step += 1
+            if made.staged:
+                made.edges = []
+                self._apply(made)
 
     # -- queries ------------------------------------------------------------------------------
 
@@ -658,7 +938,7 @@ class Program:
         """Bindings of facts that no binding of ``excluded`` shares."""
         return self.query(variables, facts).join(self.query(variables, excluded), variables, "left_anti")
 
-    def rows(self, name: str, ids: bool = True) -> DataFrame:
+    def rows(self, name: str) -> DataFrame:
         """A table's rows, hidden ones included."""
         t = self.tables[name]
         return self.store.read(t).select(*t.columns)
@@ -667,57 +947,3 @@ class Program:
         if name not in self.tables:
             raise ProgramError(f"unbound function {name}")
         return self.tables[name].rows
-
-    # -- extraction ---------------------------------------------------------------------------
-
-    def term_costs(self, hidden: bool = False) -> DataFrame:
-        """``id, cost, term``: the cheapest term of every class; of equal costs the term that sorts first."""
-        best: DataFrame | None = None
-        while True:
-            found = self._nodes(best)
-            if found is None:
-                return self.spark.createDataFrame([], "id long, cost long, term string")
-            after = self.store.keep(found.groupBy("id").agg(F.min(F.struct("cost", "term")).alias("b")).select("id", "b.cost", "b.term"))
-            state = tuple(after.agg(F.count(F.lit(1)), F.sum("cost"), F.bit_xor(F.xxhash64("id", "cost", "term"))).first())
-            if best is not None and state == last:
-                return after
-            best, last = after, state
-
-    def _nodes(self, best: DataFrame | None) -> DataFrame | None:
-        """``id, cost, term`` of every constructor row whose arguments have terms already."""
-        parts = []
-        for t in self.tables.values():
-            if t.kind != "constructor" or not t.extractable or not t.rows:
-                continue
-            ids = [i for i in t.ids if i < len(t.args)]
-            if ids and best is None:
-                continue
-            df, cost, words = self.store.read(t).where(~F.col("sub")), F.lit(t.cost).cast("long"), []
-            for i, (k, sort) in enumerate(zip(t.keys, t.args, strict=True)):
-                if i in ids:
-                    df = df.join(best.select(F.col("id").alias(k), F.col("cost").alias(f"{k}_cost"), F.col("term").alias(f"{k}_term")), k)
-                    cost = cost + F.col(f"{k}_cost")
-                    words.append(F.col(f"{k}_term"))
-                else:
-                    cost = cost + 1
-                    text = F.concat(F.lit('"'), F.col(k), F.lit('"')) if sort == "String" else scalar.find("to-string", [sort])[0](F.col(k)) if scalar.find("to-string", [sort]) else F.col(k).cast("string")
-                    words.append(text)
-            parts.append(df.select(F.col("ret").alias("id"), cost.alias("cost"), F.concat(F.lit("("), F.concat_ws(" ", F.lit(t.name), *words), F.lit(")")).alias("term")))
-        return reduce(DataFrame.unionByName, parts) if parts else None
-
-    def extract(self, x, n: int | None = None) -> list[tuple[int, str]]:
-        """The cheapest term equal to an expression, or the n cheapest rows of its class as terms."""
-        x = read(x)[0] if isinstance(x, str) else x
-        effects = Effects()
-        df, c, sort = self._value(self.spark.range(1).select(), x, effects, {}, False)
-        value = self.store.keep(df.select(c.alias("id")))
-        if effects.staged:
-            self._apply(effects)
-        if not self.is_id(sort):
-            return [(1, str(value.first()[0]))]
-        best = self.term_costs()
-        source = best if n is None else self._nodes(best)
-        found = source.join(value, "id").orderBy("cost", "term").limit(n or 1).collect()
-        if not found:
-            raise ProgramError("nothing to extract")
-        return [(r["cost"], r["term"]) for r in found]

@@ -8,35 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import split_args
-from ..plans.parser import ProgramError
+from ..plans.sorts import spark_type
 from ..session import Scratch
 
-BASE = {"i64": T.LongType(), "f64": T.DoubleType(), "String": T.StringType(), "bool": T.BooleanType(), "Unit": T.BooleanType(), "BigInt": T.DecimalType(38, 0)}
 #: Segments beyond which a table is written as one.
 COMPACT = 24
 
 
-def spark_type(sort: str) -> T.DataType:
-    """Of a sort's values; declared sorts are ids."""
-    if sort in BASE:
-        return BASE[sort]
-    if sort == "BigRat":
-        return T.StructType().add("num", BASE["BigInt"]).add("den", BASE["BigInt"])
-    if "<" in sort:
-        kind, args = sort.split("<", 1)[0], [spark_type(x) for x in split_args(sort)]
-        if kind in ("Vec", "Set"):
-            return T.ArrayType(args[0])
-        if kind == "Pair":
-            return T.StructType().add("a", args[0]).add("b", args[1])
-        if kind == "Map":
-            return T.ArrayType(T.StructType().add("k", args[0]).add("v", args[1]))
-        if kind == "MultiSet":
-            return T.ArrayType(T.StructType().add("v", args[0]).add("c", T.LongType()))
-        raise ProgramError(f"no sort {sort}")
-    return T.LongType()
-
-
 @dataclass(frozen=True)
 class Segment:
     path: str
@@ -58,6 +36,7 @@ class Table:
     extractable: bool = True
     segments: tuple[Segment, ...] = ()
     ids: list[int] = field(default_factory=list)
+    boxed: dict[int, str] = field(default_factory=dict)  # columns of containers and functions that can hold ids, with their sorts
 
     @property
     def keys(self) -> list[str]:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.program import Program
+from ..operators.schedulers import BackOff
 from ..streaming.incremental import load_and_saturate
+from .parser import ProgramError
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,10 +66,10 @@ def conj_join_3(spark, d):
 TRADE = "trade AS (SELECT DISTINCT c_nationkey::BIGINT AS a, s_nationkey::BIGINT AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"
 
 
-def trade(spark, d):
+def trade(spark, d, *more: str):
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     lines = lines.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return lines.select("c_nationkey", "s_nationkey")
+    return lines.select("c_nationkey", "s_nationkey", *more)
 
 
 @query(f"WITH {TRADE} SELECT x.a AS a, y.a AS b, z.a AS c FROM trade x JOIN trade y ON x.b = y.a JOIN trade z ON y.b = z.a AND z.b = x.a WHERE x.a < y.a AND y.a < z.a")
@@ -89,10 +91,10 @@ def exists_check(spark, d):
     return p.query(["c"], "(customer c) (placed o c)")
 
 
-@query("SELECT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def fact_difference(spark, d):
-    p = program(spark, "(relation customer (i64)) (relation placed (i64 i64))", customer=table(spark, d, "customer").select("c_custkey"), placed=table(spark, d, "orders").select("o_orderkey", "o_custkey"))
-    return p.difference("(customer c)", "(placed o c)", ["c"])
+    p = program(spark, "(relation customer (i64)) (relation placed (i64 i64 String))", customer=table(spark, d, "customer").select("c_custkey"), placed=table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
+    return p.difference("(customer c)", '(placed o c "1-URGENT")', ["c"])
 
 
 @query(f"WITH RECURSIVE {NEXT}, path AS (SELECT a, b FROM edges UNION SELECT p.a, e.b FROM path p JOIN edges e ON p.b = e.a) SELECT a, b FROM path")
@@ -160,24 +162,34 @@ def merge_old_new(spark, d):
     return p.query(["u", "first", "last"], "(= first (first u)) (= last (last u))")
 
 
-@query("SELECT count(*) AS n FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1)")
-def nomerge_conflict_count(spark, d):
-    p = program(spark, "(relation prio (i64 String))", prio=table(spark, d, "orders").select("o_custkey", "o_orderpriority"))
-    return p.query(["c"], "(prio c a) (prio c b) (!= a b)").agg(F.count(F.lit(1)).alias("n"))
+@query("SELECT o_orderkey AS o, o_orderpriority AS prio, true AS refused FROM orders")
+def nomerge_conflict(spark, d):
+    """The same value twice is no conflict; another value for a key is refused, and nothing of that load stays."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    p = program(spark, "(function prio (i64) String :no-merge)", prio=rows.union(rows))
+    try:
+        p.load("prio", rows.select("o_orderkey", F.concat("o_orderpriority", F.lit("?"))))
+        refused = False
+    except ProgramError:
+        refused = True
+    return p.query(["o", "prio"], "(= prio (prio o))").withColumn("refused", F.lit(refused))
+
+
+TRADED = "e AS (SELECT c_nationkey::BIGINT AS a, s_nationkey::BIGINT AS b, min(l_partkey) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"
 
 
-@query("WITH x AS (SELECT conv_id, turn, row_number() OVER w AS r, sum(length(text)) OVER w AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) SELECT p.conv_id AS c, p.turn AS a, q.turn AS b, (q.s - p.s)::BIGINT AS d FROM x p JOIN x q ON p.conv_id = q.conv_id AND p.r < q.r")
+@query(f"WITH {TRADED}, p AS (SELECT * FROM e UNION ALL SELECT x.a, y.b, x.w + y.w FROM e x JOIN e y ON x.b = y.a UNION ALL SELECT x.a, z.b, x.w + y.w + z.w FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a) SELECT a, b, min(w)::BIGINT AS d FROM p GROUP BY 1, 2")
 def shortest_path(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    steps = table(spark, d, "conversations").select("conv_id", F.lag("turn").over(w).alias("a"), F.col("turn").alias("b"), F.length("text").alias("w"))
+    """Over up to three edges; nearly every pair has many paths, and shorter ones are found after longer ones."""
+    edges = trade(spark, d, "l_partkey").groupBy("c_nationkey", "s_nationkey").agg(F.min("l_partkey"))
     p = program(
         spark,
-        """(relation step (i64 i64 i64 i64)) (function dist (i64 i64 i64) i64 :merge (min old new))
-        (rule ((step c a b w)) ((set (dist c a b) w))) (rule ((= d (dist c a b)) (step c b e w)) ((set (dist c a e) (+ d w))))""",
-        step=steps,
+        """(relation step (i64 i64 i64)) (function dist (i64 i64) i64 :merge (min old new))
+        (rule ((step a b w)) ((set (dist a b) w))) (rule ((= d (dist a b)) (step b e w)) ((set (dist a e) (+ d w))))""",
+        step=edges,
     )
-    p.saturate()
-    return p.query(["c", "a", "b", "d"], "(= d (dist c a b))")
+    p.run("(run 3)")
+    return p.query(["a", "b", "d"], "(= d (dist a b))")
 
 
 @query("SELECT o_orderkey AS x, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root FROM orders")
@@ -207,16 +219,18 @@ def congruence_merge(spark, d):
     return p.query(["x", "top"], "(= top (top (Box (Node x))))")
 
 
-@query("SELECT 'left' AS t, range AS n FROM range(0, 11) UNION ALL SELECT 'right', range FROM range(0, 10)")
+@query("SELECT 'sent' AS t, r_regionkey::BIGINT AS n FROM region UNION ALL SELECT 'answered', r_regionkey::BIGINT FROM region WHERE r_regionkey < 4")
 def rules_schedule(spark, d):
+    """Two rulesets in turn, each to its fixpoint: every answer lets one more be sent."""
     p = program(
         spark,
-        """(relation left (i64)) (relation right (i64)) (ruleset step-left) (ruleset step-right) (left 0)
-        (rule ((left x) (< x 10)) ((right x)) :ruleset step-right) (rule ((right x)) ((left (+ x 1))) :ruleset step-left)
-        (run-schedule (repeat 10 (saturate step-right) (saturate step-left)))""",
+        """(relation region (i64)) (relation sent (i64)) (relation answered (i64)) (ruleset answer) (ruleset send) (sent 0)
+        (rule ((sent x) (= y (+ x 1)) (region y)) ((answered x)) :ruleset answer) (rule ((answered x)) ((sent (+ x 1))) :ruleset send)""",
+        region=table(spark, d, "region").select("r_regionkey"),
     )
+    p.run("(run-schedule (repeat 100 (saturate answer) (saturate send)))")
     name = lambda n: p.rows(n).select(F.lit(n).alias("t"), F.col("k0").alias("n"))
-    return name("left").unionByName(name("right"))
+    return name("sent").unionByName(name("answered"))
 
 
 @query("SELECT range AS n FROM range(0, 7)")
@@ -254,9 +268,6 @@ def extract_cost(spark, d):
     return p.query(["n", "id"], "(located n r) (= id (Nation (Region r) n))").join(p.term_costs(), "id").select("n", "cost")
 
 
-I64 = "o_custkey AS a, o_orderkey AS b"
-
-
 @query(
     "SELECT o_orderkey AS o, (o_orderkey + o_custkey) AS plus, (o_orderkey * o_custkey) AS times, (o_orderkey // o_custkey) AS quotient, (o_orderkey % o_custkey) AS rest, (o_orderkey & o_custkey) AS both, xor(o_orderkey, o_custkey) AS either, least(o_orderkey, o_custkey) AS low, floor(log2(o_orderkey + 0.5))::BIGINT AS bits, CAST(o_orderkey AS VARCHAR) AS text FROM orders WHERE o_custkey > 0 AND o_orderkey > 0"
 )
@@ -284,10 +295,14 @@ def prim_bool(spark, d):
     return p.query(["o", "x", "y", "z"], "(placed o c) (= p (bool-> c 500)) (= q (bool-< o 900)) (= x (and p (not q))) (= y (xor p q)) (= z (=> p q))")
 
 
-@query("SELECT c_custkey AS c, 4::BIGINT AS n, c_custkey + 1 AS second, c_nationkey::BIGINT AS last FROM customer")
+@query("SELECT c_custkey AS c, 3 + c_nationkey::BIGINT AS n, c_custkey + 1 AS second, CASE WHEN c_nationkey > 0 THEN c_nationkey - 1 ELSE c_nationkey END::BIGINT AS last, c_custkey * 2 AS changed FROM customer")
 def vec_ops(spark, d):
     p = program(spark, "(relation lives (i64 i64))", lives=table(spark, d, "customer").select("c_custkey", "c_nationkey"))
-    return p.query(["c", "n", "second", "last"], "(lives c k) (= v (vec-push (vec-of c (+ c 1) k) c)) (= n (vec-length v)) (= second (vec-get v 1)) (= last (vec-get (vec-pop v) 2)) (vec-contains v c)")
+    return p.query(
+        ["c", "n", "second", "last", "changed"],
+        """(lives c k) (= v (vec-append (vec-of c (+ c 1) k) (vec-range k))) (= n (vec-length v)) (= second (vec-get v 1)) (= last (vec-get v (- n 1)))
+        (= changed (vec-get (vec-set (vec-remove v 1) 0 (* c 2)) 0)) (vec-contains (vec-push (vec-pop v) k) k) (vec-not-contains v -1)""",
+    )
 
 
 @query("SELECT c_custkey AS c, CASE WHEN c_custkey = c_nationkey THEN 2 ELSE 3 END::BIGINT AS n, least(c_custkey, c_nationkey) AS low FROM customer WHERE c_nationkey <> -1 AND c_custkey >= 0")
@@ -296,16 +311,24 @@ def set_ops(spark, d):
     return p.query(["c", "n", "low"], "(lives c k) (= s (set-union (set-of c k) (set-of -1 c))) (= n (set-length s)) (= low (set-get s 0)) (set-not-contains (set-remove s c) c)")
 
 
-@query("SELECT c_custkey AS c, 2::BIGINT AS n, 9::BIGINT AS v FROM customer WHERE c_custkey <> 7")
+@query("SELECT c_custkey AS c, CASE WHEN c_custkey = c_nationkey THEN 1 ELSE 2 END::BIGINT AS n, CASE WHEN c_custkey = c_nationkey THEN 0 ELSE c_nationkey * 3 END::BIGINT AS v, CASE WHEN c_custkey = c_nationkey THEN 0 ELSE 1 END::BIGINT AS rest FROM customer")
 def map_ops(spark, d):
-    p = program(spark, "(relation customer (i64))", customer=table(spark, d, "customer").select("c_custkey"))
-    return p.query(["c", "n", "v"], "(customer c) (!= c 7) (= m (map-insert (map-insert (map-single c 1) 7 5) c 9)) (= n (map-length m)) (= v (map-get m c)) (map-not-contains (map-remove m c) c)")
+    """A key set twice has the later value; where both keys are one, one is left."""
+    p = program(spark, "(relation lives (i64 i64))", lives=table(spark, d, "customer").select("c_custkey", "c_nationkey"))
+    return p.query(
+        ["c", "n", "v", "rest"],
+        "(lives c k) (= m (map-insert (map-insert (map-insert (map-empty) c 5) k (* k 3)) c 0)) (= n (map-length m)) (= v (map-get m k)) (= r (map-remove m c)) (= rest (map-length r)) (map-contains m c) (map-not-contains r c)",
+    )
 
 
-@query("SELECT c_custkey AS c, 5::BIGINT AS n, 3::BIGINT AS k FROM customer WHERE c_custkey <> 7")
+@query("SELECT c_custkey AS c, 5::BIGINT AS n, CASE WHEN c_custkey = c_nationkey THEN 5 ELSE 3 END::BIGINT AS k, CASE WHEN c_custkey = c_nationkey THEN 4 ELSE 2 END::BIGINT AS fewer, CASE WHEN c_custkey = c_nationkey THEN 1 ELSE 2 END::BIGINT AS kinds, c_custkey AS most FROM customer")
 def multiset_ops(spark, d):
-    p = program(spark, "(relation customer (i64))", customer=table(spark, d, "customer").select("c_custkey"))
-    return p.query(["c", "n", "k"], "(customer c) (!= c 7) (= m (multiset-sum (multiset-of c c 7) (multiset-insert (multiset-of 7) c))) (= n (multiset-length m)) (= k (multiset-count m c)) (multiset-contains (multiset-subtract m (multiset-of 7)) 7)")
+    p = program(spark, "(relation lives (i64 i64))", lives=table(spark, d, "customer").select("c_custkey", "c_nationkey"))
+    return p.query(
+        ["c", "n", "k", "fewer", "kinds", "most"],
+        """(lives c h) (= m (multiset-sum (multiset-of c c h) (multiset-insert (multiset-of h) c))) (= n (multiset-length m)) (= k (multiset-count m c))
+        (= fewer (multiset-count (multiset-subtract m (multiset-of c)) c)) (= kinds (multiset-length (multiset-reset-counts m))) (= most (multiset-pick-max m)) (multiset-contains (multiset-intersection m (multiset-of h)) h)""",
+    )
 
 
 @query("SELECT c_custkey AS c, c_name AS name FROM customer")
@@ -320,11 +343,11 @@ def bigint_ops(spark, d):
     return p.query(["o", "big"], "(placed o c) (= big (to-string (+ (* (* (bigint o) (bigint 1000000000000000000)) (bigint c)) (bigint 1))))")
 
 
-@query("SELECT o_orderkey AS o, CAST(3 * o_orderkey + o_custkey * 2 AS VARCHAR) || '/' || CAST(6 AS VARCHAR) AS sum FROM orders WHERE gcd(3 * o_orderkey + 2 * o_custkey, 6) = 1")
+@query("SELECT o_orderkey AS o, CAST((3 * o_orderkey + 2 * o_custkey) // gcd(3 * o_orderkey + 2 * o_custkey, 6) AS VARCHAR) || '/' || CAST(6 // gcd(3 * o_orderkey + 2 * o_custkey, 6) AS VARCHAR) AS sum FROM orders")
 def bigrat_ops(spark, d):
     p = program(spark, "(relation placed (i64 i64))", placed=table(spark, d, "orders").select("o_orderkey", "o_custkey"))
     text = '(= sum (+ (to-string (numer r)) "/" (to-string (denom r))))'
-    return p.query(["o", "sum"], f"(placed o c) (= r (+ (bigrat (bigint o) (bigint 2)) (bigrat (bigint c) (bigint 3)))) (= (denom r) (bigint 6)) {text}")
+    return p.query(["o", "sum"], f"(placed o c) (= r (+ (bigrat (bigint o) (bigint 2)) (bigrat (bigint c) (bigint 3)))) {text}")
 
 
 @query("SELECT user_id AS u, event_type AS a, other AS b FROM (SELECT DISTINCT x.user_id, x.event_type, y.event_type AS other FROM events x JOIN events y ON x.user_id = y.user_id AND x.event_type < y.event_type)")
@@ -337,3 +360,210 @@ def events_incremental(spark, d):
     for k in (1, 2, 3):
         load_and_saturate(p, "did", rows.where(F.col("batch") == k).select("user_id", "event_type"))
     return p.query(["u", "a", "b"], "(both u a b)").where("a < b")
+
+
+# -- containers, functions, merges and terms --------------------------------------------------
+
+REGIONS = "t AS (SELECT DISTINCT c_nationkey::BIGINT AS a, s_nationkey::BIGINT AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey), r AS (SELECT t.*, x.n_regionkey AS ra, y.n_regionkey AS rb FROM t JOIN nation x ON x.n_nationkey = a JOIN nation y ON y.n_nationkey = b)"
+
+
+def united(spark, d, more: str) -> Program:
+    """Nations as ids, those of one region made equal after ``more`` has made rows over them."""
+    p = program(
+        spark,
+        f"""(sort Place) (constructor N (i64) Place) (relation trade (i64 i64)) (relation lies (i64 i64)) (ruleset make) (ruleset unite) {more}
+        (rule ((lies a r) (lies b r)) ((union (N a) (N b))) :ruleset unite)""",
+        trade=trade(spark, d),
+        lies=table(spark, d, "nation").select("n_nationkey", "n_regionkey"),
+    )
+    p.run("(run make 1) (run unite 1)")
+    return p
+
+
+@query(f"WITH {REGIONS} SELECT a, b, min(a * 100 + b) OVER (PARTITION BY ra, rb) AS least FROM r")
+def container_rebuild(spark, d):
+    """Vectors of ids become equal as their elements do, and rows over them merge."""
+    p = united(spark, d, "(sort Way (Vec Place)) (sort Boxed) (constructor Box (Way) Boxed) (function least (Boxed) i64 :merge (min old new)) (rule ((trade a b)) ((set (least (Box (vec-of (N a) (N b)))) (+ (* a 100) b))) :ruleset make)")
+    return p.query(["a", "b", "least"], "(trade a b) (= x (N a)) (= y (N b)) (= least (least (Box (vec-of x y))))")
+
+
+@query(f"WITH {REGIONS} SELECT ra::BIGINT AS region, count(DISTINCT rb) AS n FROM r GROUP BY 1")
+def container_sets_shrink(spark, d):
+    """Sets of ids lose elements that become equal to others."""
+    p = united(spark, d, "(sort Places (Set Place)) (function to (Place) Places :merge (set-union old new)) (rule ((trade a b)) ((set (to (N a)) (set-of (N b)))) :ruleset make)")
+    return p.query(["region", "n"], "(lies a region) (= n (set-length (to (N a))))")
+
+
+@query("SELECT c_custkey AS c, c_nationkey::BIGINT AS k, 2 - (c_custkey = c_nationkey)::BIGINT AS n, 1::BIGINT + (c_nationkey > 3)::BIGINT AS marks FROM customer")
+def empty_containers(spark, d):
+    p = program(
+        spark,
+        """(sort Numbers (Vec i64)) (sort Marks (Set String)) (relation lives (i64 i64)) (function marks (i64) Marks :merge (set-union old new)) (relation bare (Numbers)) (bare (vec-empty))
+        (rule ((lives c k)) ((set (marks c) (set-insert (set-empty) "any")))) (rule ((lives c k) (> k 3)) ((set (marks c) (set-insert (set-empty) "far"))))""",
+        lives=table(spark, d, "customer").select("c_custkey", "c_nationkey"),
+    )
+    p.run("(run 1)")
+    return p.query(["c", "k", "n", "marks"], "(lives c h) (bare v) (= k (vec-get (vec-push v h) 0)) (= n (map-length (map-insert (map-insert (map-empty) c 1) h 2))) (= marks (set-length (marks c))) (= v (vec-empty))")
+
+
+@query("SELECT l_orderkey AS o, sum(s)::BIGINT AS total FROM (SELECT DISTINCT l_orderkey, l_suppkey AS s FROM lineitem) GROUP BY 1")
+def merge_table(spark, d):
+    """Values merge into terms by a constructor, whatever their order; the terms are summed up by rules."""
+    p = program(
+        spark,
+        """(datatype Bag (One i64) (Both Bag Bag)) (function bag (i64) Bag :merge (Both old new)) (function total (Bag) i64 :merge (max old new)) (relation item (i64 i64)) (ruleset gather) (ruleset sum)
+        (rule ((item o s)) ((set (bag o) (One s))) :ruleset gather) (rule ((= b (One s))) ((set (total b) s)) :ruleset sum) (rule ((= b (Both x y)) (= m (total x)) (= n (total y))) ((set (total b) (+ m n))) :ruleset sum)""",
+        item=table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"),
+    )
+    p.run("(run gather 1) (run-schedule (saturate sum))")
+    return p.query(["o", "total"], "(= b (bag o)) (= total (total b))")
+
+
+@query("SELECT o_orderkey AS o, CASE o_orderstatus WHEN 'F' THEN 3 * o_custkey WHEN 'O' THEN o_custkey + 100 ELSE least(o_custkey, 50) END::BIGINT AS v FROM orders")
+def function_values(spark, d):
+    """A function for each status, kept in a table and applied to each order's customer."""
+    p = program(
+        spark,
+        """(sort OnNumber (UnstableFn (i64) i64)) (relation rate (String OnNumber)) (relation placed (i64 i64 String)) (relation rated (i64 i64))
+        (rate "F" (unstable-fn "*" 3)) (rate "O" (unstable-fn "+" 100)) (rate "P" (unstable-fn "min" 50))
+        (rule ((placed o c s) (rate s f)) ((rated o (unstable-app f c))))""",
+        placed=table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"),
+    )
+    p.run("(run 1)")
+    return p.query(["o", "v"], "(rated o v)")
+
+
+@query("SELECT c_custkey AS c, c_custkey * 2 AS first, (c_custkey + c_nationkey * 2)::BIGINT AS total, (c_nationkey > 0)::BIGINT AS kept FROM customer")
+def function_values_over_containers(spark, d):
+    p = program(
+        spark,
+        """(sort Numbers (Vec i64)) (sort Bag (MultiSet i64)) (relation lives (i64 i64)) (function doubled (i64) Numbers :no-merge) (function sum (i64) i64 :no-merge) (function left (i64) Bag :no-merge)
+        (rule ((lives c k)) ((set (doubled c) (unstable-vec-map (unstable-fn "*" 2) (vec-of c k))) (set (sum c) (unstable-multiset-reduce (unstable-fn "+") 0 (multiset-of c k k))) (set (left c) (unstable-multiset-filter (unstable-fn "log2") (multiset-of k)))))""",
+        lives=table(spark, d, "customer").select("c_custkey", "c_nationkey"),
+    )
+    p.run("(run 1)")
+    return p.query(["c", "first", "total", "kept"], "(= first (vec-get (doubled c) 0)) (= total (sum c)) (= kept (multiset-length (left c)))")
+
+
+@query("SELECT '(Nation (Region ' || n_regionkey || ' \"' || r_name || '\") ' || n_nationkey || ')' AS term FROM nation JOIN region ON n_regionkey = r_regionkey")
+def rows_to_terms(spark, d):
+    p = program(
+        spark,
+        "(datatype Place (Region i64 String) (Nation Place i64)) (relation lies (i64 i64 String)) (rule ((lies n r s)) ((Nation (Region r s) n)))",
+        lies=table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_regionkey", "r_name"),
+    )
+    p.run("(run 1)")
+    return p.terms("Nation").select(F.concat(F.lit("(Nation "), "k0", F.lit(" "), "k1", F.lit(")")).alias("term"))
+
+
+@query(f"WITH {REGIONS} SELECT DISTINCT least(a, b) AS low, greatest(a, b) AS high, (SELECT count(*) FROM t y WHERE (y.a, y.b) IN ((r.a, r.b), (r.b, r.a))) AS n FROM r")
+def rewrites(spark, d):
+    """Terms of two arguments are equal either way round; each class counts the facts it stands for."""
+    p = program(
+        spark,
+        """(datatype Way (From i64 i64)) (relation trade (i64 i64)) (function low (Way) i64 :merge (min old new)) (function high (Way) i64 :merge (max old new)) (function n (Way) i64 :merge (+ old new)) (ruleset count)
+        (rule ((trade a b)) ((From a b))) (rewrite (From a b) (From b a) :name "turn") (rule ((trade a b) (= w (From a b))) ((set (n w) 1) (set (low w) (min a b)) (set (high w) (max a b))) :ruleset count)""",
+        trade=trade(spark, d),
+    )
+    p.run("(run 3) (run count 1)")
+    return p.query(["low", "high", "n"], "(= n (n w)) (= low (low w)) (= high (high w))")
+
+
+@query("SELECT l_orderkey AS o, l_linenumber::BIGINT AS n, CAST(l_extendedprice AS VARCHAR) AS price, CAST(l_discount AS VARCHAR) AS discount FROM lineitem")
+def prim_f64_text(spark, d):
+    p = program(spark, "(relation item (i64 i64 f64 f64))", item=table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"))
+    return p.query(["o", "n", "price", "discount"], "(item o n p x) (= price (to-string p)) (= discount (to-string x))")
+
+
+@query("SELECT o_orderkey AS o, CAST(big & 1023::HUGEINT AS VARCHAR) AS low, CAST(big | 1023::HUGEINT AS VARCHAR) AS high, CAST(xor(big, 1023::HUGEINT) AS VARCHAR) AS other, CAST(big << 5 AS VARCHAR) AS wide, CAST(big >> 3 AS VARCHAR) AS narrow, CAST(-big - 1 AS VARCHAR) AS flipped FROM (SELECT o_orderkey, o_orderkey::HUGEINT * 1000000000000 + o_custkey AS big FROM orders)")
+def bigint_bits(spark, d):
+    p = program(spark, "(relation placed (i64 i64))", placed=table(spark, d, "orders").select("o_orderkey", "o_custkey"))
+    return p.query(
+        ["o", "low", "high", "other", "wide", "narrow", "flipped"],
+        """(placed o c) (= b (+ (* (bigint o) (bigint 1000000000000)) (bigint c))) (= m (bigint 1023)) (= low (to-string (& b m))) (= high (to-string (| b m))) (= other (to-string (^ b m)))
+        (= wide (to-string (<< b 5))) (= narrow (to-string (>> b 3))) (= flipped (to-string (not-Z b)))""",
+    )
+
+
+@query("SELECT o_orderkey AS o, CAST(o_orderkey // (c + 1) AS VARCHAR) AS down, CAST((o_orderkey + c) // (c + 1) AS VARCHAR) AS up, CAST((2 * o_orderkey + c + 1) // (2 * (c + 1)) AS VARCHAR) AS near, CAST((o_orderkey * o_orderkey) // gcd(o_orderkey * o_orderkey, (c + 1) * (c + 1)) AS VARCHAR) AS squared FROM (SELECT o_orderkey, o_custkey AS c FROM orders WHERE o_orderkey > 0)")
+def bigrat_functions(spark, d):
+    p = program(spark, "(relation placed (i64 i64))", placed=table(spark, d, "orders").select("o_orderkey", "o_custkey"))
+    number = lambda name, f: f"(= {name} (to-string (numer {f})))"
+    return p.query(
+        ["o", "down", "up", "near", "squared"],
+        f"(placed o c) (> o 0) (= r (bigrat (bigint o) (bigint (+ c 1)))) (= two (bigrat (bigint 2) (bigint 1))) {number('down', '(floor r)')} {number('up', '(ceil r)')} {number('near', '(round r)')} (= s (pow r two)) {number('squared', 's')} (= r (sqrt s)) (= r (min r (max r r)))",
+    )
+
+
+# -- runs from outside ------------------------------------------------------------------------
+
+TURNS = "(relation next (i64 i64 i64)) (relation after (i64 i64 i64)) (rule ((next c a b)) ((after c a b)) :name \"one\") (rule ((after c a b) (next c b e)) ((after c a e)) :name \"more\")"
+AFTER = "SELECT DISTINCT x.conv_id AS c, x.turn AS a, y.turn AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn < y.turn"
+
+
+def turns(spark, d) -> DataFrame:
+    """Each turn of a conversation with the next one."""
+    after = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, d, "conversations").select("conv_id", "turn").distinct().select("conv_id", "turn", after.alias("after")).where("after is not null")
+
+
+@query(AFTER)
+def scheduled_closure(spark, d):
+    """A rule with many matches is banned for some steps; nothing is lost by it."""
+    p = program(spark, TURNS, next=turns(spark, d))
+    p.saturate_with(BackOff(limit=100, ban=2))
+    return p.query(["c", "a", "b"], "(after c a b)")
+
+
+@query(AFTER)
+def saved_and_resumed(spark, d):
+    """Half of the facts, saved; then the rest, in a program made from what was saved."""
+    rows = turns(spark, d)
+    p = program(spark, TURNS, next=rows.where("conv_id % 2 = 0"))
+    p.saturate()
+    path = f"{p.store.scratch.path}/saved"
+    p.save(path)
+    q = Program.resume(spark, path)
+    q.load("next", rows.where("conv_id % 2 <> 0"))
+    q.saturate()
+    return q.query(["c", "a", "b"], "(after c a b)")
+
+
+@query(f"WITH p AS ({AFTER}), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations) x WHERE EXISTS (SELECT 1 FROM conversations y WHERE y.conv_id = x.conv_id AND y.turn > x.turn)) SELECT 'one' AS rule, (SELECT n FROM n) AS matches UNION ALL SELECT 'more', (SELECT count(*) FROM p) - (SELECT n FROM n)")
+def traced_rule_matches(spark, d):
+    """Matches by rule: semi-naive, so each pair of facts is met once."""
+    p = Program(spark, trace=True)
+    p.run(TURNS)
+    p.load("next", turns(spark, d))
+    p.saturate()
+    return p.traced_matches().groupBy("rule").agg(F.count(F.lit(1)).alias("matches"))
+
+
+@query("SELECT user_id AS u, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
+def host_rule(spark, d):
+    """The head of a rule is a function over all its matches at once."""
+    p = program(spark, "(relation event (i64 i64 String)) (function n (i64 String) i64 :merge new)", event=table(spark, d, "events").select("event_id", "user_id", "event_type"))
+    p.host_rule("(event e u k)", lambda m: {"n": m.groupBy("u", "k").agg(F.count(F.lit(1)))}, naive=True)
+    p.run("(run 1)")
+    return p.query(["u", "kind", "n"], "(= n (n u kind))")
+
+
+@query("SELECT c_custkey AS c, c_nationkey::BIGINT AS n, 'gone' AS which FROM customer WHERE c_nationkey < 5 UNION ALL SELECT c_custkey, c_nationkey + 100, 'new' FROM customer WHERE c_nationkey < 5")
+def state_difference(spark, d):
+    """What a program's rules changed, against a copy that didn't run them."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    text = "(function lives (i64) i64 :merge new) (rule ((= k (lives c)) (< k 5)) ((set (lives c) (+ k 100))))"
+    before, after = program(spark, text, lives=rows), program(spark, text, lives=rows)
+    after.run("(run 1)")
+    gone, new = before.difference_to(after)["lives"]
+    named = lambda df, which: df.select(F.col("k0").alias("c"), F.col("ret").alias("n"), F.lit(which).alias("which"))
+    return named(gone, "gone").unionByName(named(new, "new"))
+
+
+@query("SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderpriority = '1-URGENT'")
+def drained(spark, d):
+    """Notifications: rows that rules gave to a relation, taken out of it."""
+    p = program(spark, '(relation placed (i64 i64 String)) (relation notice (i64)) (rule ((placed o c "1-URGENT")) ((notice c)))', placed=table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
+    p.run("(run 1)")
+    rows = p.drain("notice").select(F.col("k0").alias("c"))
+    return rows if p.size("notice") == 0 else rows.limit(0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import containers, scalar  # noqa: F401
 from .parser import Lit, ProgramError, Sym
+from .sorts import spark_type
 
 
 @dataclass
@@ -22,6 +23,7 @@ class Prim:
     name: str
     args: list
     out: Sym
+    sort: str = "?"  # of the result
 
 
 @dataclass
@@ -69,7 +71,7 @@ class Compiler:
             out = self.new()
             q.atoms.append(Atom(name, [*args, *([out] if t.out else [])]))
             return out
-        if name not in scalar.TABLE and name not in ("vec-empty", "set-empty", "map-empty"):
+        if name not in scalar.TABLE and name not in containers.EMPTY:
             raise ProgramError(f"unbound function {name}")
         q.prims.append(Prim(name, args, out := self.new()))
         return out
@@ -124,9 +126,12 @@ class Compiler:
             if not ready:
                 raise ProgramError(f"variable {next(x.name for p in waiting for x in p.args if isinstance(x, Sym) and x.name not in q.sorts)} is ungrounded")
             for p in ready:
-                sort = self.result(p, q)
+                p.sort = sort = self.result(p, q)
                 if isinstance(p.out, Sym):
-                    q.sorts.setdefault(p.out.name, sort)
+                    known = scalar.unified(q.sorts.get(p.out.name, "?"), sort)
+                    if known is None:
+                        raise ProgramError(f"{p.out.name} is {q.sorts[p.out.name]} and {sort}")
+                    q.sorts[p.out.name] = known
                 ordered.append(p)
                 waiting.remove(p)
         q.prims = ordered
@@ -137,18 +142,36 @@ class Compiler:
             return sorts[0]
         if p.name == "bool-value-eq":
             return "Unit"
+        if p.name in containers.EMPTY and not sorts:
+            return scalar.unified(q.sorts.get(p.out.name, "?") if isinstance(p.out, Sym) else "?", containers.EMPTY[p.name]) or containers.EMPTY[p.name]
         if found := scalar.find(p.name, sorts):
             return found[1]
         raise ProgramError(f"{p.name}: no definition for {' '.join(sorts)}")
 
 
+def empty(sort: str) -> Column:
+    """An empty container; one of unknown sort fits where it is used."""
+    return F.array() if "?" in sort else F.array().cast(spark_type(sort))
+
+
+def applied(name: str, cols: list[Column], sorts: list[str]) -> tuple[Column, str] | None:
+    """A primitive on columns, and its result's sort; empty containers among them get the sort they need."""
+    found = scalar.resolve(name, sorts)
+    if not found:
+        return None
+    f, sort, filled = found
+    return f(*[c.cast(spark_type(w)) if "?" in s and "?" not in w else c for c, s, w in zip(cols, sorts, filled, strict=True)]), sort
+
+
 def prim_column(p: Prim, sorts: dict[str, str]) -> Column:
     cols = [literal(x) if isinstance(x, Lit) else F.col(f"`{x.name}`") for x in p.args]
     if p.name == "value":
         return cols[0]
     if p.name == "bool-value-eq":
         return scalar._true(cols[0] == cols[1])
-    return scalar.find(p.name, [x.sort if isinstance(x, Lit) else sorts[x.name] for x in p.args])[0](*cols)
+    if p.name in containers.EMPTY and not cols:
+        return empty(sorts.get(p.out.name, "?"))
+    return applied(p.name, cols, [x.sort if isinstance(x, Lit) else sorts[x.name] for x in p.args])[0]
 
 
 def atom_frame(atom: Atom, df: DataFrame, columns: list[str]) -> DataFrame:

@@ -75,7 +75,7 @@ def test_hidden_rows(spark):
         ("(relation r (i64)) (rule ((< x 3)) ((r 1)))", "ungrounded"),
         ("(relation r (i64)) (r 1 2)", "strict=True|argument|takes"),
         ("(relation r (Foo))", "unbound sort Foo"),
-        ("(function f (i64) i64)", "merge behaviour"),
+        ("(function f (i64) i64)", "merge"),
         ("(sort S) (constructor C () S) (relation r (i64)) (rule ((r x)) ((set (C) (C))))", "can't set C"),
         ("(relation r (i64)) (relation r (i64))", "declared already"),
         ("(function f (i64) i64 :no-merge) (relation r (i64)) (rule ((r x)) ((r (f x))))", "looked up"),
