@@ -24,6 +24,8 @@ DIGITS = 6
 MARGINS = ((1, 0.0), (8, 0.01), (16, 0.02), (32, 0.03), (128, 0.03), (512, 0.03))
 #: Rows of a margin's fit at least, and rows of all languages at most, so that the driver's share is bounded.
 FEW_ROWS, MOST_ROWS = 50, 1024
+#: Share of a fitted score that is asked for: a lead half as wide as known languages nearly always have.
+SAFETY = 0.5
 
 
 def _compressors(dictionaries: dict[str, bytes], level: int) -> list:
@@ -45,7 +47,7 @@ def _score(sizes: list[int]) -> float:
 
 
 def _margins(held: list[tuple[str, str]], dictionaries: dict[str, bytes], level: int) -> tuple[tuple[int, float], ...]:
-    """The lesser of the 1st percentile of known languages' scores and the 99th of those left out, for each length."""
+    """For each length, SAFETY of the lesser of the 1st percentile of known languages' scores and the 99th of those left out."""
     names, compressors, out = list(dictionaries), _compressors(dictionaries, level) if dictionaries else [], []
     for k, (low, default) in enumerate(MARGINS):
         high = MARGINS[k + 1][0] if k + 1 < len(MARGINS) else 2 * low
@@ -64,7 +66,7 @@ def _margins(held: list[tuple[str, str]], dictionaries: dict[str, bytes], level:
             out.append((low, default))
             continue
         found = [sorted(known)[len(known) // 100]] + ([sorted(left_out)[len(left_out) * 99 // 100]] if left_out else [])
-        out.append((low, round(min(found), DIGITS)))
+        out.append((low, round(SAFETY * min(found), DIGITS)))
     return tuple(out)
 
 
