@@ -43,7 +43,7 @@ class Inspection:
         t = self._table(name)
         rows = self.store.read(t)
         shown = rows.select(*[F.approx_count_distinct(F.hash(c)).alias(c) for c in t.columns]).first() if t.columns else ()
-        return {"rows": t.rows, "segments": len(t.segments), "last_step": t.last, "distinct": dict(zip(t.columns, shown, strict=True))}
+        return {"rows": t.rows, "segments": len(t.parts), "last_step": t.last, "distinct": dict(zip(t.columns, shown, strict=True))}
 
     def drain(self, name: str) -> DataFrame:
         """A relation's rows, which are gone from it afterwards; the rows stay readable."""
@@ -51,7 +51,7 @@ class Inspection:
         if t.kind != "relation":
             raise ProgramError(f"{name} is no relation")
         rows = self.rows(name)
-        t.segments = ()
+        t.clear()
         self.step += 1
         return rows
 

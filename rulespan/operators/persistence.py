@@ -39,7 +39,7 @@ class Persistence:
             where = f"{version}/{k}"
             if t.rows:
                 self.store.read(t).write.mode("overwrite").parquet(f"{path}/{where}")
-            tables[name] = {"path": where if t.rows else None, "first": min((s.first for s in t.segments), default=0), "last": t.last, "rows": t.rows, "kind": t.kind, "out": t.out}
+            tables[name] = {"path": where if t.rows else None, "first": min((s.first for s in t.parts), default=0), "last": t.last, "rows": t.rows, "kind": t.kind, "out": t.out}
         marks = [[r.last, r.fired, r.matches] for rs in self.rulesets.values() for r in rs]
         control = {"declared": [unread(c) for c in self.declared], "globals": self.globals, "step": self.step, "tables": tables, "marks": marks, "uses": [[n, list(g)] for n, g in sorted(self.fn_uses)], "more": more}
         _write_text(self.spark, f"{path}/control", json.dumps(control))

@@ -22,6 +22,7 @@ from ..plans.parser import Lit, ProgramError, Sym, options, read
 from ..plans.rules import Compiler, Query, applied, atom_frame, empty, evaluate, literal
 from ..functions import containers
 from ..plans.sorts import BASE
+from . import store
 from .components import connected_components
 from .extraction import Extraction
 from .function_values import FunctionValues, fn_sort, moved_functions, moved_values
@@ -31,8 +32,6 @@ from .schedulers import LimitReached, Scheduler
 from .store import Store, Table
 from .tracing import Event, Tracing
 
-#: Moved ids (two numbers each) up to which they are broadcast.
-BROADCAST_ROWS = 500_000
 LATTICE = {"min": F.min, "max": F.max, "or": F.bool_or, "and": F.bool_and}
 
 
@@ -321,6 +320,10 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
         else:
             self.act([c])
 
+    def close(self) -> None:
+        """Deletes everything that the program has written, its tables too."""
+        self.store.close()
+
     def _state(self) -> tuple:
         rules = {k: list(v) for k, v in self.rulesets.items()}
         marks = {id(r): (r.last, r.fired) for v in rules.values() for r in v}
@@ -723,7 +726,10 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
             t = self.tables[name]
             before = t.rows
             if name in removed and before:
-                self.store.put(t, self.store.read(t).join(removed[name], t.keys, "left_anti"))
+                if self._large(t) and self.store.few(removed[name]):
+                    self.store.replace(t, None, removed[name])
+                else:
+                    self.store.put(t, self.store.read(t).join(removed[name], t.keys, "left_anti"))
                 changed |= t.rows < before
             if name in staged:
                 changed |= self._insert(t, staged[name], now, made)
@@ -743,25 +749,43 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
         new = new.withColumn("ts", F.lit(now).cast("long"))
         if t.kind == "relation" or t.kind == "constructor":
             unique = new.groupBy(*t.keys).agg(*([F.min("ret").alias("ret")] if t.out else []), F.min("ts").alias("ts"), F.bool_or("sub").alias("sub")) if t.keys else new.limit(1)
-            if t.rows:
-                old = self.store.read(t).select(*t.keys)
-                unique = unique.join(old, t.keys, "left_anti") if t.keys else unique.limit(0)
+            if not t.rows:
+                return self.store.append(t, unique) > 0
+            old = self.store.read(t).select(*t.keys)
+            if self._large(t):
+                unique = self.store.keep(unique)
+                if self.store.few(unique):
+                    # The table is only read along: what it has of the few new keys is found, and left out.
+                    known = self.store.keep(old.join(F.broadcast(unique.select(*t.keys)), t.keys, "left_semi"))
+                    return self.store.append(t, unique.join(F.broadcast(known), t.keys, "left_anti")) > 0
+            unique = unique.join(old, t.keys, "left_anti") if t.keys else unique.limit(0)
             return self.store.append(t, unique) > 0
         if not t.rows:
             merged = self._merged(t, new.withColumn("old", F.lit(False)), now, effects)
             return self.store.append(t, merged) > 0
         # Only keys that the step touched are merged; the rest is carried over.
         old = self.store.read(t)
-        touched = new
-        both = touched.withColumn("old", F.lit(False)).unionByName(old.join(touched.select(*t.keys).distinct(), t.keys, "left_semi").withColumn("old", F.lit(True)) if t.keys else old.withColumn("old", F.lit(True)))
-        merged = self.store.keep(self._merged(t, both, now, effects))
+        if not t.keys:
+            held = old.withColumn("old", F.lit(True))
+        else:
+            touched = new.select(*t.keys).distinct()
+            few = self._large(t) and self.store.few(new)
+            held = old.join(F.broadcast(touched) if few else touched, t.keys, "left_semi").withColumn("old", F.lit(True))
+        merged = self.store.keep(self._merged(t, new.withColumn("old", F.lit(False)).unionByName(held), now, effects))
         fresh = merged.where(F.col("ts") == now)
         if not fresh.take(1):
             return False
+        if self._large(t) and self.store.few(fresh):
+            self.store.replace(t, fresh, fresh.select(*t.keys))
+            return True
         rest = old.join(fresh.select(*t.keys), t.keys, "left_anti") if t.keys else old.limit(0)
         self.store.put(t, rest.unionByName(fresh))
         return True
 
+    def _large(self, t: Table) -> bool:
+        """Whether it pays to leave a table's older segments as they are."""
+        return bool(t.keys) and t.rows > store.SMALL
+
     def _merged(self, t: Table, rows: DataFrame, now: int, effects: Effects) -> DataFrame:
         """One row a key. Values merge in ascending order, the held one first."""
         grouped = rows.groupBy(*t.keys)
@@ -860,8 +884,11 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
         hit = self.store.keep(old.where(~F.col("sub")).join(keys, t.keys, "left_semi"))
         if not hit.take(1):
             return False
-        rest = old.join(hit.select(*t.keys), t.keys, "left_anti")
-        self.store.put(t, rest.unionByName(hit.withColumn("sub", F.lit(True)).withColumn("ts", F.lit(now).cast("long"))))
+        hidden = hit.withColumn("sub", F.lit(True)).withColumn("ts", F.lit(now).cast("long"))
+        if self._large(t) and self.store.few(hit):
+            self.store.replace(t, hidden, hit.select(*t.keys))
+        else:
+            self.store.put(t, old.join(hit.select(*t.keys), t.keys, "left_anti").unionByName(hidden))
         return True
 
     # -- equality -----------------------------------------------------------------------------
@@ -876,7 +903,7 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
             any_change = True
             moved = self.store.keep(connected_components(self.spark, pairs).where("node <> root").distinct())
             now = self.step
-            if moved.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            if self.store.few(moved):
                 moved = F.broadcast(moved)  # two numbers a row, so at most some megabytes
             made = Effects()
             for t in list(self.tables.values()):
@@ -896,6 +923,13 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
                     rows = rows.join(m, names[i], "left")
                     touched = touched | F.col(f"{names[i]}_root").isNotNull()
                 rows = rows.withColumn("hit", touched)
+                if self._large(t) and t.name not in self.globals:
+                    hits = self.store.keep(rows.where("hit"))
+                    if not hits.take(1):
+                        continue
+                    if self.store.few(hits):
+                        self._rename_few(t, hits, maps, now, made)
+                        continue
                 for i in maps:
                     rows = rows.withColumn(names[i], F.coalesce(F.col(f"{names[i]}_root"), F.col(names[i])))
                 rows = self.store.keep(rows.withColumn("ts", F.when(F.col("hit"), F.lit(now).cast("long")).otherwise(F.col("ts"))).select(*names, "ts", "sub", "hit"))
@@ -915,6 +949,20 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
                 made.edges = []
                 self._apply(made)
 
+    def _rename_few(self, t: Table, hits: DataFrame, maps: dict, now: int, made: Effects) -> None:
+        """Takes the rows that hold moved ids out and puts them in again, merged with those whose keys they now have."""
+        names = t.columns
+        before = hits.select(*t.keys)
+        renamed = hits.select(*[F.coalesce(F.col(f"{n}_root"), F.col(n)).alias(n) if i in maps else F.col(n) for i, n in enumerate(names)], F.lit(now).cast("long").alias("ts"), "sub")
+        renamed = self.store.keep(renamed)
+        keys = renamed.select(*t.keys).distinct()
+        met = self.store.read(t).join(F.broadcast(keys), t.keys, "left_semi").join(F.broadcast(before), t.keys, "left_anti").select(*names, "ts", "sub")
+        if t.kind == "relation":
+            fresh = renamed.unionByName(met).groupBy(*names).agg(F.min("ts").alias("ts"), F.bool_or("sub").alias("sub"))
+        else:
+            fresh = self._merged(t, renamed.withColumn("old", F.lit(False)).unionByName(met.withColumn("old", F.lit(True))), now, made)
+        self.store.replace(t, self.store.keep(fresh), before.unionByName(keys))
+
     # -- queries ------------------------------------------------------------------------------
 
     def query(self, variables: list[str], facts: str) -> DataFrame:
