@@ -16,10 +16,11 @@ from functools import reduce
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar
 from ..plans.parser import Lit, ProgramError, Sym, options, read
-from ..plans.rules import Compiler, Query, applied, atom_frame, empty, evaluate, literal
+from ..plans.rules import BINARY, Compiler, Query, applied, atom_frame, empty, evaluate, literal
 from ..functions import containers
 from ..plans.sorts import BASE
 from . import store
@@ -30,7 +31,7 @@ from .inspection import Inspection
 from .persistence import DECLARE, Persistence
 from .schedulers import LimitReached, Scheduler
 from .store import Store, Table
-from .tracing import Event, Tracing
+from .tracing import Event, Tracing, symbols
 
 LATTICE = {"min": F.min, "max": F.max, "or": F.bool_or, "and": F.bool_and}
 
@@ -77,10 +78,12 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
 
     ``naive`` joins all rows in every step; ``trace`` keeps what rules did (see :class:`Tracing`); ``stats`` counts
     matches, at the price of writing them once. ``most_steps`` and ``most_rows`` bound a run: a step beyond them
-    is undone and raises :class:`LimitReached`.
+    is undone and raises :class:`LimitReached`. ``strategy`` is how the atoms of a body are joined: "binary", "generic"
+    (a variable at a time, for cyclic patterns) or "reduced" (semi-joins first, for acyclic ones).
     """
 
-    def __init__(self, spark: SparkSession, naive: bool = False, trace: bool = False, stats: bool = False, most_steps: int | None = None, most_rows: int | None = None):
+    def __init__(self, spark: SparkSession, naive: bool = False, trace: bool = False, stats: bool = False, most_steps: int | None = None, most_rows: int | None = None, strategy: str = BINARY):
+        self.strategy = strategy
         self.spark, self.naive, self.tracing, self.stats = spark, naive, trace, stats
         self.most_steps, self.most_rows, self.steps_run = most_steps, most_rows, 0
         self.events: list[Event] = []
@@ -190,11 +193,36 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
 
     def run(self, text: str) -> list[str]:
         """Runs a program and returns what it printed."""
-        before = len(self.outputs)
-        for command in read(text):
-            self.command(command)
+        before, facts = len(self.outputs), []
+        for command in [*read(text), None]:
+            if command is not None and self._is_ground(command):
+                facts.append(command)
+                continue
+            if facts:
+                self._add_ground(facts)
+                facts = []
+            if command is not None:
+                self.command(command)
         return self.outputs[before:]
 
+    def _is_ground(self, c) -> bool:
+        """Whether a command is a relation's row of literals of the right sorts: a run of them is added at once."""
+        if self.macros or self.command_macros or not isinstance(c, list) or not c or not isinstance(c[0], Sym) or c[0].name in self.commands:
+            return False
+        t = self.tables.get(c[0].name)
+        return t is not None and t.kind == "relation" and bool(t.args) and len(c) - 1 == len(t.args) and all(isinstance(a, Lit) and a.sort == s for a, s in zip(c[1:], t.args, strict=True))
+
+    def _add_ground(self, facts: list) -> None:
+        rows: dict[str, list[tuple]] = {}
+        for f in facts:
+            rows.setdefault(f[0].name, []).append(tuple(a.value for a in f[1:]))
+        staged = {}
+        for name, values in rows.items():
+            t = self.tables[name]
+            frame = self.spark.createDataFrame(values, T.StructType([t.schema[k] for k in t.keys]))
+            staged[name] = [frame.withColumn("sub", F.lit(False))]
+        self._apply(Effects(staged=staged))
+
     def expanded(self, x):
         """An expression with all macros in it applied, outer ones first."""
         for _ in range(1000):
@@ -565,20 +593,29 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
         tables = [self.tables[a.table] for a in q.atoms]
         if any(not t.rows for t in tables):
             return None
-        needed = [F.col(f"`{v}`") for v in q.sorts if v[0] != "_" or not v[1:].isdigit()]
+        names = self._needed(r)
+        needed = [F.col(f"`{v}`") for v in q.sorts if v in names]
         visible = lambda df: df.where(~F.col("sub"))
         frame = lambda i, **range_: atom_frame(q.atoms[i], visible(self.store.read(tables[i], **range_)), tables[i].columns)
+        how = {"needed": names, "sizes": [t.rows for t in tables], "strategy": self.strategy}
         if r.naive or self.naive or r.last == 0:
-            variants = [evaluate(q, [frame(i) for i in range(len(tables))])]
+            variants = [evaluate(q, [frame(i) for i in range(len(tables))], **how)]
         else:
             variants = [
-                evaluate(q, [frame(j, since=r.last) if j == i else frame(j, before=r.last) if j < i else frame(j) for j in range(len(tables))], first=i)
+                evaluate(q, [frame(j, since=r.last) if j == i else frame(j, before=r.last) if j < i else frame(j) for j in range(len(tables))], first=i, **how)
                 for i, t in enumerate(tables)
                 if t.last >= r.last
             ]
         variants = [v.select(*needed) for v in variants]
         return reduce(DataFrame.unionByName, variants) if variants else None
 
+    def _needed(self, r: Rule) -> set[str]:
+        """Variables that a rule's head uses; all named ones where the head is a function, or matches are kept."""
+        named = {v for v in r.query.sorts if v[0] != "_" or not v[1:].isdigit()}
+        if self.tracing:
+            return set(r.query.sorts)
+        return named if r.host else named & (set().union(*map(symbols, r.actions)) | {v for v in named if v.endswith("!")})
+
     # -- actions ------------------------------------------------------------------------------
 
     def act(self, actions: list) -> None:
@@ -967,20 +1004,20 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
 
     def query(self, variables: list[str], facts: str) -> DataFrame:
         """Distinct bindings of variables; hidden rows take no part."""
-        return self._solve(read(facts), hidden=False).select(*[F.col(f"`{v}`") for v in variables]).distinct()
+        return self._solve(read(facts), hidden=False, needed=set(variables)).select(*[F.col(f"`{v}`") for v in variables]).distinct()
 
-    def _solve(self, facts: list, hidden: bool) -> DataFrame:
+    def _solve(self, facts: list, hidden: bool, needed: set[str] | None = None) -> DataFrame:
         q = self.compiler().query(facts)
         frames = []
         for a in q.atoms:
             t = self.tables[a.table]
             df = self.store.read(t)
             frames.append(atom_frame(a, df if hidden else df.where(~F.col("sub")), t.columns))
-        return evaluate(q, frames, one_row=self.spark.range(1).select())
+        return evaluate(q, frames, one_row=self.spark.range(1).select(), needed=needed, sizes=[self.tables[a.table].rows for a in q.atoms], strategy=self.strategy)
 
     def check(self, facts: list) -> bool:
         """Whether all facts hold at once; hidden rows count."""
-        return bool(self._solve(facts, hidden=True).limit(1).count())
+        return bool(self._solve(facts, hidden=True, needed=set()).limit(1).count())
 
     def difference(self, facts: str, excluded: str, variables: list[str]) -> DataFrame:
         """Bindings of facts that no binding of ``excluded`` shares."""

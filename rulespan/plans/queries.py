@@ -567,3 +567,40 @@ def drained(spark, d):
     p.run("(run 1)")
     rows = p.drain("notice").select(F.col("k0").alias("c"))
     return rows if p.size("notice") == 0 else rows.limit(0)
+
+
+# -- ways to join -----------------------------------------------------------------------------
+
+
+@query(ORACLES["self_join_triangle"])
+def triangle_generic(spark, d):
+    """A cyclic pattern, a variable at a time."""
+    p = Program(spark, strategy="generic")
+    p.run("(relation trade (i64 i64))")
+    p.load("trade", trade(spark, d))
+    return p.query(["a", "b", "c"], "(trade a b) (trade b c) (trade c a) (< a b) (< b c)")
+
+
+@query(ORACLES["conj_join_3"])
+def conj_join_3_reduced(spark, d):
+    """An acyclic pattern, semi-joins first."""
+    p = Program(spark, strategy="reduced")
+    p.run("(relation lives (i64 i64)) (relation placed (i64 i64 String)) (relation item (i64 i64))")
+    p.load("lives", table(spark, d, "customer").select("c_custkey", "c_nationkey"))
+    p.load("placed", table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    p.load("item", table(spark, d, "lineitem").select("l_orderkey", "l_partkey"))
+    return p.query(["n", "part"], '(lives c n) (placed o c "F") (item o part)')
+
+
+@query("SELECT n_nationkey::BIGINT AS n, r_regionkey::BIGINT AS r FROM nation, region WHERE EXISTS (SELECT 1 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 AND c_nationkey = 3)")
+def factored_query(spark, d):
+    """Parts that share no variable: two are multiplied, one is only asked whether it holds."""
+    p = program(
+        spark,
+        "(relation nation (i64)) (relation region (i64)) (relation placed (i64 f64)) (relation lives (i64 i64))",
+        nation=table(spark, d, "nation").select("n_nationkey"),
+        region=table(spark, d, "region").select("r_regionkey"),
+        placed=table(spark, d, "orders").select("o_custkey", "o_totalprice"),
+        lives=table(spark, d, "customer").select("c_custkey", "c_nationkey"),
+    )
+    return p.query(["n", "r"], "(nation n) (region r) (placed c price) (> price 1000.0) (lives c 3)")

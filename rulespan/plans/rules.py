@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import containers, scalar  # noqa: F401
+from .multiway import generic, reduced
 from .parser import Lit, ProgramError, Sym
 from .sorts import spark_type
 
@@ -187,8 +188,61 @@ def atom_frame(atom: Atom, df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(v) for v, c in keep.items()], *([] if keep else [F.lit(True).alias(f"_unit_{id(atom)}")]))
 
 
-def evaluate(q: Query, frames: list[DataFrame], first: int = 0, one_row: DataFrame | None = None) -> DataFrame:
-    """Joins all atoms, the one numbered ``first`` first and then always one that shares a variable if any does."""
+#: Rows of a cross product that a rule may ask for; a larger one is refused.
+MOST_PRODUCT = 10**12
+BINARY, GENERIC, REDUCED = "binary", "generic", "reduced"
+
+
+def groups(q: Query, frames: list[DataFrame]) -> list[set[int]]:
+    """Atoms that hang together by variables, primitives between them included."""
+    names = [{c for c in f.columns if not c.startswith("_unit_")} for f in frames]
+    sets = [({k}, set(n)) for k, n in enumerate(names)]
+    sets += [(set(), {x.name for x in [*p.args, p.out] if isinstance(x, Sym)}) for p in q.prims]
+    out: list[tuple[set[int], set[str]]] = []
+    for atoms, held in sets:
+        apart = [o for o in out if not o[1] & held]
+        near = [o for o in out if o[1] & held]
+        out = [*apart, (atoms.union(*(o[0] for o in near)), held.union(*(o[1] for o in near)))]
+    return [o[0] for o in out if o[0]]
+
+
+def evaluate(q: Query, frames: list[DataFrame], first: int = 0, one_row: DataFrame | None = None, needed: set[str] | None = None, sizes: list[int] | None = None, strategy: str = BINARY) -> DataFrame:
+    """Joins all atoms, the one numbered ``first`` first and then always one that shares a variable if any does.
+
+    With ``needed``, parts of the query that share no variable with the rest and bind none that is needed are only
+    asked whether they hold. ``sizes`` (rows of each frame's table at most) order and bound cross products.
+    ``strategy`` names another way to join (see :mod:`multiway`); ``reduced`` is for acyclic queries, others stay as they are.
+    """
+    if needed is not None and len(frames) > 1 and len(parts := groups(q, frames)) > 1:
+        whole: DataFrame | None = None
+        for atoms in sorted(parts, key=lambda a: (first not in a, min(a))):
+            inner = sorted(atoms)
+            held = {c for k in inner for c in frames[k].columns}
+            prims, more = [], True
+            while more:
+                more = False
+                for p in q.prims:
+                    if p not in prims and all(isinstance(x, Lit) or x.name in held for x in p.args) and any(isinstance(x, Sym) for x in [*p.args, p.out]):
+                        prims.append(p)
+                        held |= {p.out.name} if isinstance(p.out, Sym) else set()
+                        more = True
+            # Primitives over literals only are in every part: they hold or not for all.
+            prims = [p for p in q.prims if p in prims or all(isinstance(x, Lit) for x in p.args)]
+            sub = Query([q.atoms[k] for k in inner], prims, [], q.sorts)
+            rows = evaluate(sub, [frames[k] for k in inner], inner.index(first) if first in inner else 0, strategy=strategy)
+            new = [c for c in rows.columns if c in needed and (whole is None or c not in whole.columns)]
+            rows = rows.select(*[F.col(f"`{c}`") for c in new]) if new else rows.limit(1).select(F.lit(True).alias(f"_held_{inner[0]}"))
+            whole = rows if whole is None else whole.join(rows)
+        if sizes is not None:
+            most = 1
+            for atoms in parts:
+                if needed & {c for k in atoms for c in frames[k].columns}:
+                    most *= max(1, max(sizes[k] for k in atoms))
+            if most > MOST_PRODUCT:
+                raise ProgramError(f"a cross product of up to {most} rows")
+        return whole
+    if strategy == REDUCED and len(frames) > 1:
+        frames = reduced(frames) or frames
     left = list(range(len(q.atoms)))
     prims = list(q.prims)
     done: DataFrame | None = None
@@ -208,6 +262,10 @@ def evaluate(q: Query, frames: list[DataFrame], first: int = 0, one_row: DataFra
                     have.add(p.out.name)
         return df
 
+    if strategy == GENERIC and len(frames) > 1:
+        done, left = generic(frames), []
+        have |= set(done.columns)
+        return apply(done)
     while left:
         k = first if done is None else next((i for i in left if have & set(frames[i].columns)), left[0])
         left.remove(k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,21 @@ def export_graph(program, path: str) -> None:
         if t.kind == "constructor" and t.rows:
             args = F.to_json(F.struct(*[F.col(k) for k in t.keys])) if t.keys else F.lit("{}")
             program.store.read(t).select(F.lit(t.name).alias("op"), args.alias("children"), F.col("ret").cast("string").alias("eclass"), F.lit(t.cost).alias("cost"), F.col("sub").alias("subsumed")).write.mode("append").json(path)
+
+
+def export_dot(program, path: str) -> None:
+    """The terms as a graph in the DOT language: a box for each class, a node for each row, an edge to each argument's class."""
+    parts = [program.spark.createDataFrame([("0", "digraph terms { compound=true; node [shape=record];")], "at string, line string")]
+    for t in program.tables.values():
+        if t.kind != "constructor" or not t.rows:
+            continue
+        rows = program.store.read(t)
+        node = F.concat(F.lit('"n'), F.abs(F.xxhash64(F.lit(t.name), *t.keys)).cast("string"), F.lit('"'))
+        box = lambda c: F.concat(F.lit('"c'), F.col(c).cast("string"), F.lit('"'))
+        values = [F.col(k).cast("string") for i, k in enumerate(t.keys) if i not in t.ids and i not in t.boxed]
+        label = F.replace(F.concat_ws(" ", F.lit(t.name), *values), F.lit('"'), F.lit("'"))
+        lines = [F.concat(F.lit("subgraph cluster_"), F.replace(F.col("ret").cast("string"), F.lit("-"), F.lit("m")), F.lit(" { "), node, F.lit(' [label="'), label, F.lit('"]; '), box("ret"), F.lit(" [shape=point]; }"))]
+        lines += [F.concat(node, F.lit(" -> "), box(f"k{i}"), F.lit(";")) for i in t.ids if i < len(t.args)]
+        parts.append(rows.select(F.lit("1").alias("at"), F.explode(F.array(*lines)).alias("line")))
+    parts.append(program.spark.createDataFrame([("2", "}")], "at string, line string"))
+    reduce(DataFrame.unionByName, parts).orderBy("at", "line").coalesce(1).select("line").write.mode("overwrite").text(path)

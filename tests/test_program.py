@@ -229,3 +229,36 @@ def test_text_reads_back():
 
     text = '(rule ((= x "a\\n\\"b") (f 1 -2.5 true)) ((g x)) :name "n")'
     assert unread(read(text)[0]) == text
+
+
+def test_ways_to_join_agree(spark):
+    """Cyclic, acyclic, falling apart, with repeated variables, literals and primitives, and with no rows."""
+    facts = " ".join(f"(e {a} {b})" for a, b in [(1, 2), (2, 3), (3, 1), (3, 4), (4, 1), (2, 4), (5, 5), (4, 2), (1, 3)]) + " (l 1 7) (l 3 8) (l 5 9) (flag 1)"
+    bodies = [
+        (["a", "b", "c"], "(e a b) (e b c) (e c a)"), (["a", "d"], "(e a b) (e b c) (e c d) (l d x)"), (["a"], "(e a a)"), (["a", "x"], "(e a b) (l x y) (flag z)"), (["b"], "(e 3 b) (> b 1)"),
+        (["a", "b", "c", "d"], "(e a b) (e b c) (e c d) (e d a) (!= a c)"), (["a", "s"], "(e a b) (l b y) (= s (+ a y))"), (["a"], "(e a b) (none b)"), (["a"], "(e a b) (flag 2)"),
+    ]
+    found = []
+    for strategy in ("binary", "generic", "reduced"):
+        p, _ = ok(spark, f"(relation e (i64 i64)) (relation l (i64 i64)) (relation flag (i64)) (relation none (i64)) {facts}", strategy=strategy)
+        found.append([sorted(map(tuple, p.query(v, b).collect())) for v, b in bodies])
+    assert found[0] == found[1] == found[2] and [len(r) > 0 for r in found[0]] == [True] * 7 + [False] * 2
+
+
+def test_products_are_bounded(spark, monkeypatch):
+    from rulespan.plans import rules
+
+    monkeypatch.setattr(rules, "MOST_PRODUCT", 5)
+    p, _ = ok(spark, "(relation a (i64)) (relation b (i64)) (a 1) (a 2) (a 3) (b 1) (b 2)")
+    assert p.query(["x"], "(a x) (b y)").count() == 3
+    with pytest.raises(ProgramError, match="product"):
+        p.query(["x", "y"], "(a x) (b y)")
+
+
+def test_dot_export(spark, tmp_path):
+    from rulespan.sources.files import export_dot
+
+    p, _ = ok(spark, '(datatype T (Leaf String) (Node T T)) (Node (Leaf "a") (Leaf "b"))')
+    export_dot(p, str(tmp_path / "dot"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "dot")).collect()]
+    assert lines[0].startswith("digraph") and lines[-1] == "}" and sum("->" in x for x in lines) == 2 and sum("subgraph" in x for x in lines) == 3
