@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,6 +32,21 @@ def small_batches(spark) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
+def tidy(task):
+    """A task of Arrow batches that gives the memory it held back to the system when it ends; workers live on, idle, for later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+            if trim:
+                trim(0)
+
+    return run
+
+
 def column(batch: pa.RecordBatch, k: int = 0) -> list[bytes | None]:
     """A string column as bytes."""
     return batch.column(k).cast(pa.large_binary() if pa.types.is_large_string(batch.column(k).type) else pa.binary()).to_pylist()

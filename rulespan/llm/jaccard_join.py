@@ -64,9 +64,14 @@ def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> tuple[np.ndar
     return values[new], np.concatenate([[0], np.cumsum(new)])[cut]
 
 
-def signature(values: np.ndarray) -> int:
-    """Of a whole set."""
-    return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
+def signature(values: np.ndarray, doubtful: frozenset[int] = frozenset(), bits: int = 64) -> int:
+    """Of a whole set; one that different sets share, a ``doubtful`` one, gives way to another of each."""
+    first = (xxhash.xxh3_64_intdigest(values.tobytes()) >> (64 - bits)) - (1 << 63)
+    return second_signature(values) if first in doubtful else first
+
+
+def second_signature(values: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(values.tobytes(), seed=1) - (1 << 63)
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
@@ -118,13 +123,14 @@ def _array(df: DataFrame, name: str) -> np.ndarray:
     return np.sort(np.array([r[0] for r in df.select(name).collect()], np.int64).view(_text.U64))
 
 
-def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = Fraction(3, 4), words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = Fraction(3, 4), words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", signature_bits: int = 64) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row.
 
     A-Z are lower-cased; words are runs of characters other than ASCII white space; a set holds the
     distinct runs of ``words`` words, or the whole sequence if it is shorter. Two rows link if their
     sets' Jaccard similarity is ``at_least``. ``component_id`` is the least id that links lead to, the
-    row's own included. Shingles are told apart by 64-bit hashes.
+    row's own included. Shingles are told apart by 64-bit hashes, sets by two: where different sets share the
+    first, of ``signature_bits`` bits, as a few of 10**10 do, they go by the second.
 
     A null text, or one without words, has an empty set, links with nothing and is its own component.
     A null id is never the least; a component of null ids only has a null component_id. Rows that
@@ -141,7 +147,9 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
             texts, ids = _text.column(batch, 1), batch.column(0)
             for a, b in _text.by_bytes(texts):
                 values, cut = shingle_sets(texts[a:b], words)
-                sigs = [signature(values[cut[i] : cut[i + 1]]) if cut[i + 1] > cut[i] else None for i in range(b - a)]
+                full = [values[cut[i] : cut[i + 1]] if cut[i + 1] > cut[i] else None for i in range(b - a)]
+                sigs = [None if v is None else signature(v, bits=signature_bits) for v in full]
+                seconds = [None if v is None else second_signature(v) for v in full]
                 frequent, times = np.unique(values, return_counts=True)
                 frequent, times = frequent[times >= REPORTED], times[times >= REPORTED]
                 k = len(frequent)
@@ -150,13 +158,19 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                         pa.concat_arrays([ids.slice(a, b - a), pa.nulls(k, pa.int64())]),
                         pa.array([*np.diff(cut).tolist(), *times.tolist()], pa.int64()),
                         pa.concat_arrays([pa.array(sigs, pa.int64()), pa.array(_text.signed(frequent))]),
+                        pa.array(seconds + [None] * k, pa.int64()),
                         pa.array([True] * (b - a) + [False] * k),
-                        pa.array([bitmap(values[cut[i] : cut[i + 1]]).tobytes() if cut[i + 1] > cut[i] else None for i in range(b - a)] + [None] * k, pa.binary()),
+                        pa.array([None if v is None else bitmap(v).tobytes() for v in full] + [None] * k, pa.binary()),
                     ],
-                    names=["doc_id", "n", "sig", "is_doc", "bits"],
+                    names=["doc_id", "n", "sig", "second", "is_doc", "bits"],
                 )
 
-    seen = scratch.put(source.mapInArrow(survey, "doc_id long, n long, sig long, is_doc boolean, bits binary"), "survey")
+    seen = scratch.put(source.mapInArrow(_text.tidy(survey), "doc_id long, n long, sig long, second long, is_doc boolean, bits binary"), "survey")
+    shared = seen.where("is_doc and sig is not null").groupBy("sig").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).where("lo <> hi")
+    doubtful = frozenset(r[0] for r in shared.select("sig").collect())  # about n * n / 2**65 of n sets
+    if doubtful:
+        apart = spark.createDataFrame([(x,) for x in doubtful], "sig long").withColumn("shared", F.lit(True))
+        seen = seen.join(F.broadcast(apart), "sig", "left").withColumn("sig", F.when(F.col("is_doc") & F.col("shared"), F.col("second")).otherwise(F.col("sig"))).drop("shared")
     members = seen.where("is_doc").select("doc_id", "n", "sig")
     common = seen.where("not is_doc").groupBy("sig").agg(F.sum("n").alias("n")).where(f"n >= {COMMON}").orderBy(F.desc("n"), "sig").limit(COMMON_KEPT)
     last = spark.sparkContext.broadcast(_array(common, "sig"))
@@ -174,7 +188,7 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                 tokens, sigs, bands = [], [], []
                 for i in range(b - a):
                     own = values[cut[i] : cut[i + 1]]
-                    if not len(own) or (sig := signature(own)) in done:
+                    if not len(own) or (sig := signature(own, doubtful, signature_bits)) in done:
                         continue
                     if len(done) < PAIRS_KEPT:
                         done.add(sig)
@@ -187,7 +201,7 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(_text.signed(np.concatenate(tokens))), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(bands))], names=["token", "sig", "band"])
 
-    given = source.where("text is not null").select("text").mapInArrow(prefixes, "token long, sig long, band int")
+    given = source.where("text is not null").select("text").mapInArrow(_text.tidy(prefixes), "token long, sig long, band int")
     # Sets that share a token share its least set too, so tokens of one least set make one tile.
     holders = Window.partitionBy("token")
     shared = given.repartition("token").distinct().withColumns({"hub": F.min("sig").over(holders), "most": F.max("sig").over(holders)}).where("hub < most")
@@ -202,7 +216,7 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                 values, cut = shingle_sets(texts[a:b], words)
                 full = [values[cut[i] : cut[i + 1]] for i in range(b - a) if cut[i] < cut[i + 1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([signature(v) for v in full], pa.int64()), pa.array([v.tobytes() for v in full], pa.binary())],
+                    [pa.array([signature(v, doubtful, signature_bits) for v in full], pa.int64()), pa.array([v.tobytes() for v in full], pa.binary())],
                     names=["sig", "shingles"],
                 )
 
@@ -234,14 +248,14 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(owner, "sig").select("doc_id").distinct()
         nameless = source.where("doc_id is null and text is not null").select("text").distinct()
         chosen = source.join(wanted, "doc_id", "left_semi").select("text").unionByName(nameless)
-        body = scratch.put(chosen.mapInArrow(sets, "sig long, shingles binary"), f"{name}-sets")
+        body = scratch.put(chosen.mapInArrow(_text.tidy(sets), "sig long, shingles binary"), f"{name}-sets")
         full = pairs.join(side(body, "a"), "a").join(side(body, "b"), "b").select("a", "b", "a_shingles", "b_shingles")
-        linked = scratch.put(full.mapInArrow(decided, "a long, b long").distinct(), name)
+        linked = scratch.put(full.mapInArrow(_text.tidy(decided), "a long, b long").distinct(), name)
         scratch.drop(f"{name}-sets")
         return linked
 
     star = tiles.where("sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b"))
-    star = star.join(side(size, "a"), "a").join(side(size, "b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits").mapInArrow(bounded, "a long, b long")
+    star = star.join(side(size, "a"), "a").join(side(size, "b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits").mapInArrow(_text.tidy(bounded), "a long, b long")
     links = decide(star, "star")
     joined = scratch.put(connected_components(spark, links), "joined")
 
@@ -325,7 +339,7 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
         yield listed(set(pairs()))
 
     for name, few in (("few", FEW), ("all", None)):
-        left_over = in_tiles(joined, name).mapInArrow(partial(compare, few=few), "a long, b long").distinct()
+        left_over = in_tiles(joined, name).mapInArrow(_text.tidy(partial(compare, few=few)), "a long, b long").distinct()
         links = links.unionByName(decide(left_over, name))
         joined = scratch.put(connected_components(spark, links), f"joined-{name}")
         scratch.drop(f"{name}-apart")

@@ -159,7 +159,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margins: tuple[tup
     keep = tuple(c for c in dict.fromkeys(keep) if c not in ("doc_id", "lang_pred", "score", "accepted"))
     source = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("doc_id"), *[F.col(f"`{c}`") for c in keep])
     schema = source.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    return source.mapInArrow(task, schema)
+    return source.mapInArrow(_text.tidy(task), schema)
 
 
 def keep_accepted(docs: DataFrame, dictionaries: dict[str, bytes], margins: tuple[tuple[int, float], ...] = MARGINS, level: int = 6, text_col: str = "text") -> DataFrame:
@@ -175,4 +175,4 @@ def keep_accepted(docs: DataFrame, dictionaries: dict[str, bytes], margins: tupl
         for batch in batches:
             yield batch.filter(model.column(batch.column(at).cast(pa.string()))[2])
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(_text.tidy(task), docs.schema)

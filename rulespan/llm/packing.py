@@ -130,14 +130,17 @@ def pack(
         words = _vocab.word_ids(vocabulary)
         context = TaskContext.get()
         packer = _Packer(tiers, group_tokens, (context.partitionId() if context else 0) << 32)
-        for batch in batches:
-            texts = _text.column(batch, 1)
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                packer.add(doc_id, words.ids(text) + end)
-                if packer.held >= BLOCK_TOKENS:
-                    packer.pack()
-                    yield packer.batch()
-        packer.finish()
-        yield packer.batch()
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, SCHEMA)
+        try:
+            for batch in batches:
+                texts = _text.column(batch, 1)
+                for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                    packer.add(doc_id, words.ids(text) + end)
+                    if packer.held >= BLOCK_TOKENS:
+                        packer.pack()
+                        yield packer.batch()
+            packer.finish()
+            yield packer.batch()
+        finally:
+            words.clear()  # what it remembers is for one task; the worker lives on
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_text.tidy(task), SCHEMA)

@@ -210,7 +210,10 @@ def test_jaccard_join_in_small_tiles(spark, monkeypatch):
             rows.append((len(rows), " ".join(passage + w)))
     monkeypatch.setattr(jaccard_join, "TILE", 3)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert Counter(map(tuple, jaccard_join.link_components(spark, frame).collect())) == brute_components(rows)
+    want = brute_components(rows)
+    assert Counter(map(tuple, jaccard_join.link_components(spark, frame).collect())) == want
+    # Different sets that share their first signature are told apart by the second.
+    assert Counter(map(tuple, jaccard_join.link_components(spark, frame, signature_bits=4).collect())) == want
 
 
 def test_bitmap_bounds_from_above():
