@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.containers import id_elements
 from ..plans.parser import ProgramError
 
 
@@ -72,6 +74,61 @@ class Inspection:
                 out[name] = (mine.exceptAll(theirs), theirs.exceptAll(mine))
         return out
 
+    def occurrences(self, value: int) -> dict[str, DataFrame]:
+        """Rows that hold an id, by table, in containers too: what a union of it would touch."""
+        out = {}
+        for name, t in self.tables.items():
+            hit = [F.col(t.columns[i]) == F.lit(value) for i in t.ids]
+            for i, sort in t.boxed.items():
+                c = F.col(t.columns[i])
+                ids = None if sort.startswith("UnstableFn<") else id_elements(c, sort, self.is_id)
+                hit.append(F.array_contains(c["given"], F.lit(str(value))) if ids is None else F.array_contains(ids, F.lit(value)))
+            if hit and t.rows:
+                out[name] = self.rows(name).where(reduce(lambda a, b: a | b, hit))
+        return out
+
+    def colours(self, rounds: int = 64) -> DataFrame:
+        """``id, colour``: ids of one colour stand in like rows as far as colour refinement tells; names of ids don't count.
+
+        A round hashes each row by its table, values and its ids' colours, and gives each id the sum over its rows; sums
+        are made before the shuffle, so an id in very many rows is no problem. Ends when no more colours come.
+        """
+        tables = [t for t in self.tables.values() if t.ids and t.rows and not t.boxed]
+        ids = [self.rows(t.name).select(F.col(t.columns[i]).alias("id"), F.xxhash64(F.lit(([*t.args, t.out])[i])).alias("colour")) for t in tables for i in t.ids]
+        if not ids:
+            return self.spark.createDataFrame([], "id long, colour long")
+        now = self.store.keep(reduce(DataFrame.unionByName, ids).distinct())
+        kinds = now.select("colour").distinct().count()
+        for _ in range(rounds):
+            seen = []
+            for t in tables:
+                rows = self.rows(t.name)
+                for i in t.ids:
+                    rows = rows.join(now.select(F.col("id").alias(t.columns[i]), F.col("colour").alias(f"colour{i}")), t.columns[i])
+                parts = [F.col(f"colour{i}") if i in t.ids else F.col(c) for i, c in enumerate(t.columns)]
+                row = F.xxhash64(F.lit(t.name), *parts)
+                seen += [rows.select(F.col(t.columns[i]).alias("id"), F.xxhash64(row, F.lit(i)).alias("part")) for i in t.ids]
+            sums = reduce(DataFrame.unionByName, seen).groupBy("id").agg(F.sum(F.col("part").cast("decimal(38,0)")).alias("parts"))
+            now = self.store.keep(now.join(sums, "id").select("id", F.xxhash64("colour", "parts").alias("colour")))
+            more = now.select("colour").distinct().count()
+            if more == kinds:
+                break
+            kinds = more
+        return now
+
+    def told_apart(self, other, rounds: int = 8) -> bool:
+        """Whether two programs surely differ by more than the names of their ids: sizes, rows without ids, or colours differ.
+
+        False means that refinement finds no difference, which for graphs of much symmetry isn't a proof.
+        """
+        if {n: t.rows for n, t in self.tables.items()} != {n: t.rows for n, t in other.tables.items()}:
+            return True
+        for n, t in self.tables.items():
+            if not t.ids and not t.boxed and self.rows(n).exceptAll(other.rows(n)).take(1):
+                return True
+        mine, theirs = (p.colours(rounds).groupBy("colour").count() for p in (self, other))
+        return bool(mine.exceptAll(theirs).take(1) or theirs.exceptAll(mine).take(1))
+
     def print_function(self, name: str, n: int | None = None, path: str | None = None, mode: str = "default") -> list[str]:
         """Rows as terms, hidden ones included, in order of their text: printed, or written as lines of terms or of CSV."""
         t = self._table(name)

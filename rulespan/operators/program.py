@@ -509,8 +509,12 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
             n += 1
         return n
 
-    def run_step(self, ruleset: str = "", scheduler: Scheduler | None = None) -> Report:
-        """One step of a ruleset: all rules match the same snapshot, then all effects are applied."""
+    def run_step(self, ruleset: str = "", scheduler: Scheduler | None = None, without: dict[str, DataFrame] | None = None) -> Report:
+        """One step of a ruleset: all rules match the same snapshot, then all effects are applied.
+
+        ``without`` names, by rule, values of some of its variables that are known to bring nothing: matches that have them
+        are left out, now and for good. It is trusted, not checked.
+        """
         effects, now, state = Effects(), self.step, self._state()
         if self.most_steps is not None and self.steps_run >= self.most_steps:
             raise LimitReached(f"more than {self.most_steps} steps")
@@ -519,6 +523,12 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
             began = time.time()
             matches = self._matches(r)
             r.last = now
+            if matches is not None and without and r.name in without:
+                known = without[r.name]
+                unused = [c for c in known.columns if c not in matches.columns]
+                if unused:
+                    raise ProgramError(f"{r.name} has no use for {' '.join(unused)}")
+                matches = matches.join(known, known.columns, "left_anti")
             if scheduler:
                 matches = self._scheduled(r, matches, scheduler)
             if matches is not None:

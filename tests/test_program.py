@@ -262,3 +262,30 @@ def test_dot_export(spark, tmp_path):
     export_dot(p, str(tmp_path / "dot"))
     lines = [r[0] for r in spark.read.text(str(tmp_path / "dot")).collect()]
     assert lines[0].startswith("digraph") and lines[-1] == "}" and sum("->" in x for x in lines) == 2 and sum("subgraph" in x for x in lines) == 3
+
+
+def test_restricted_steps(spark):
+    p, _ = ok(spark, CHAIN)
+    p.run_step()
+    known = spark.createDataFrame([(10,)], "a long")
+    p.run_step(without={"more": known})
+    assert sorted(map(tuple, p.rows("reach").collect())) == [(10, 20), (20, 30), (20, 40), (30, 40)]
+    with pytest.raises(ProgramError, match="no use"):
+        p.run_step(without={"more": known.withColumnRenamed("a", "zz")})
+
+
+def test_occurrences_and_colours(spark):
+    from rulespan.operators.extraction import UnitCosts
+
+    tree = "(sort T) (constructor L (i64) T) (constructor N (T T) T) (sort Ts (Vec T)) (relation has (Ts)) "
+    p, _ = ok(spark, tree + "(N (L 1) (N (L 2) (L 1))) (has (vec-of (L 1) (L 2)))")
+    one = p.lookup("L", 1)
+    assert {n: df.count() for n, df in p.occurrences(one).items()} == {"L": 1, "N": 2, "has": 1}
+    assert p.extract("(N (L 1) (N (L 2) (L 1)))", model=UnitCosts())[0][0] == 5
+    plain = "(sort T) (constructor L (i64) T) (constructor N (T T) T) (relation r (i64)) "
+    a, _ = ok(spark, plain + "(r 1) (N (L 1) (N (L 2) (L 1)))")
+    b, _ = ok(spark, plain + "(L 2) (r 1) (N (L 1) (N (L 2) (L 1)))")  # other names of ids
+    c, _ = ok(spark, plain + "(r 1) (N (L 2) (N (L 2) (L 1)))")
+    d, _ = ok(spark, plain + "(r 2) (N (L 1) (N (L 2) (L 1)))")
+    assert a.lookup("L", 2) != b.lookup("L", 2) and not a.told_apart(b)
+    assert a.told_apart(c) and a.told_apart(d) and a.colours().select("colour").distinct().count() == 4
