@@ -200,21 +200,24 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, at_least:
         print_ = F.when(whole <= n, _fingerprint(counters, at, size))
         return F.struct(at.alias("start"), F.slice("s", at + 1, size - SHINGLE + 1).alias("window"), print_.alias("fp"), long.alias("long"))
 
-    windows = full.withColumn("w", F.explode_outer(F.transform(F.array_distinct(starts), window))).where("w is not null").select("doc_id", *[F.col(c).alias(f"item_{c}") for c in shape], "n_words", "w.start", "w.window", "w.fp", "w.long")
+    # Of what an item's part is: one number, and with a block's or shingle's value one hash, so that the broadcast is small.
+    number = lambda: (whole.cast("long") * (1 << 36) + F.col("at").cast("long") * (1 << 8) + m).alias("shape")
+    door = lambda block, value: F.xxhash64(block, value, "shape")
+    windows = full.withColumn("w", F.explode_outer(F.transform(F.array_distinct(starts), window))).where("w is not null").select("doc_id", number(), "n_words", "w.start", "w.window", "w.fp", "w.long")
 
     item = parts.withColumn("of", F.coalesce("all", "shingles")).join(_with_prefix(parts, Fraction(str(at_least))).withColumnRenamed("item_id", "of_id"), ["of"]).where(F.col("item_id").eqNullSafe(F.col("of_id")))
-    item = item.select("item_id", "prefix", *[F.col(c).alias(f"item_{c}") for c in shape], F.col("shingles").alias("item_shingles"), F.col("of").alias("item_of"), _fingerprint([_counters(F.col("h"), k) for k in range(9)], F.lit(0), F.col("m")).alias("item_fp"))
+    item = item.select("item_id", "prefix", number(), F.col("whole").alias("item_whole"), F.col("shingles").alias("item_shingles"), F.col("of").alias("item_of"), _fingerprint([_counters(F.col("h"), k) for k in range(9)], F.lit(0), F.col("m")).alias("item_fp"))
     near = F.flatten(F.array(*[_neighbours(k, block, size) for k, (block, (_, size)) in enumerate(zip(_blocks(F.col("item_fp")), BLOCKS, strict=True))]))
-    fixed = ["item_m", "item_whole", "item_at", "item_fp"]
-    by_block = item.select(*fixed).distinct().withColumn("e", F.explode_outer(near)).select(*fixed, "e.block", "e.value")
-    by_shingle = item.select(*fixed, F.lit(BY_SHINGLE).alias("block"), F.explode("prefix").alias("value")).distinct()
-    lookup = _small(by_block.unionByName(by_shingle))
+    fixed = ["shape", "item_fp"]
+    by_block = item.select(*fixed).distinct().withColumn("e", F.explode_outer(near)).select(door(F.col("e.block"), F.col("e.value")).alias("door"), *fixed)
+    by_shingle = item.select(*fixed, F.explode("prefix").alias("value")).select(door(F.lit(BY_SHINGLE), F.col("value")).alias("door"), *fixed).distinct()
+    lookup = _small(by_block.unionByName(by_shingle)).withColumnRenamed("shape", "item_shape")
 
     probe = lambda k, b: F.struct(F.lit(k).alias("block"), b.alias("value"))
     shorter = F.col("fp").isNull()
     asked = F.when(shorter, F.transform(F.array_distinct("window"), lambda x: probe(BY_SHINGLE, x))).otherwise(F.array(*[probe(k, b) for k, b in enumerate(_blocks(F.col("fp")))]))
-    probes = windows.withColumn("e", F.explode_outer(asked))
-    met = probes.select("doc_id", *fixed[:3], "n_words", "start", "window", "fp", "long", "e.block", "e.value").join(lookup, ["block", "value", *fixed[:3]])
+    probes = windows.withColumn("e", F.explode_outer(asked)).withColumn("door", door(F.col("e.block"), F.col("e.value")))
+    met = probes.select("doc_id", "shape", "n_words", "start", "window", "fp", "long", "e.block", "e.value", "door").join(lookup, "door").where("shape = item_shape").drop("item_shape", "door")
     met = met.where(shorter | (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS))
     # A pair met in several blocks, or by several shingles, counts in its first only.
     differ = [F.bit_count(a.bitwiseXOR(b)) <= NEAR for a, b in zip(_blocks(F.col("fp")), _blocks(F.col("item_fp")), strict=True)]

@@ -120,7 +120,7 @@ class Similarity:
 
 
 def _array(df: DataFrame, name: str) -> np.ndarray:
-    return np.sort(np.array([r[0] for r in df.select(name).collect()], np.int64).view(_text.U64))
+    return np.sort(df.select(name).toArrow().column(0).to_numpy().astype(np.int64).view(_text.U64))
 
 
 def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = Fraction(3, 4), words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", signature_bits: int = 64) -> DataFrame:
