@@ -206,13 +206,15 @@ def groups(q: Query, frames: list[DataFrame]) -> list[set[int]]:
     return [o[0] for o in out if o[0]]
 
 
-def evaluate(q: Query, frames: list[DataFrame], first: int = 0, one_row: DataFrame | None = None, needed: set[str] | None = None, sizes: list[int] | None = None, strategy: str = BINARY) -> DataFrame:
-    """Joins all atoms, the one numbered ``first`` first and then always one that shares a variable if any does.
+def evaluate(q: Query, frames: list[DataFrame], first: int | None = None, one_row: DataFrame | None = None, needed: set[str] | None = None, sizes: list[int] | None = None, strategy: str = BINARY) -> DataFrame:
+    """Joins all atoms, the one numbered ``first`` (or the smallest) first and then always one that shares a variable if any does.
 
     With ``needed``, parts of the query that share no variable with the rest and bind none that is needed are only
     asked whether they hold. ``sizes`` (rows of each frame's table at most) order and bound cross products.
     ``strategy`` names another way to join (see :mod:`multiway`); ``reduced`` is for acyclic queries, others stay as they are.
     """
+    if first is None:
+        first = min(range(len(frames)), key=lambda k: sizes[k]) if sizes and frames else 0
     if needed is not None and len(frames) > 1 and len(parts := groups(q, frames)) > 1:
         whole: DataFrame | None = None
         for atoms in sorted(parts, key=lambda a: (first not in a, min(a))):
@@ -229,7 +231,7 @@ def evaluate(q: Query, frames: list[DataFrame], first: int = 0, one_row: DataFra
             # Primitives over literals only are in every part: they hold or not for all.
             prims = [p for p in q.prims if p in prims or all(isinstance(x, Lit) for x in p.args)]
             sub = Query([q.atoms[k] for k in inner], prims, [], q.sorts)
-            rows = evaluate(sub, [frames[k] for k in inner], inner.index(first) if first in inner else 0, strategy=strategy)
+            rows = evaluate(sub, [frames[k] for k in inner], inner.index(first) if first in inner else None, sizes=[sizes[k] for k in inner] if sizes else None, strategy=strategy)
             new = [c for c in rows.columns if c in needed and (whole is None or c not in whole.columns)]
             rows = rows.select(*[F.col(f"`{c}`") for c in new]) if new else rows.limit(1).select(F.lit(True).alias(f"_held_{inner[0]}"))
             whole = rows if whole is None else whole.join(rows)
@@ -247,6 +249,7 @@ def evaluate(q: Query, frames: list[DataFrame], first: int = 0, one_row: DataFra
     prims = list(q.prims)
     done: DataFrame | None = None
     have: set[str] = set()
+    most = 1
 
     def apply(df: DataFrame) -> DataFrame:
         for p in list(prims):
@@ -267,9 +270,14 @@ def evaluate(q: Query, frames: list[DataFrame], first: int = 0, one_row: DataFra
         have |= set(done.columns)
         return apply(done)
     while left:
-        k = first if done is None else next((i for i in left if have & set(frames[i].columns)), left[0])
+        near = [i for i in left if have & set(frames[i].columns)] or left
+        k = first if done is None else min(near, key=lambda i: sizes[i]) if sizes else near[0]
         left.remove(k)
         shared = [c for c in frames[k].columns if c in have]
+        if sizes:
+            most = sizes[k] if done is None else max(most, sizes[k]) if shared else most * max(1, sizes[k])
+            if most > MOST_PRODUCT:
+                raise ProgramError(f"a cross product of up to {most} rows")
         done = frames[k] if done is None else done.join(frames[k], shared) if shared else done.join(frames[k])
         have |= set(frames[k].columns)
         done = apply(done)
