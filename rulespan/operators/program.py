@@ -242,6 +242,7 @@ class Program(FunctionValues, Extraction, Inspection, Persistence, Tracing):
             self._command(c)
 
     def _command(self, c: list) -> None:
+        # The words of commands, and of their options below, are those of the language.
         head = c[0].name
         args, named = options(c[1:])
         if head in DECLARE and head not in self.commands:
