@@ -20,6 +20,8 @@ MIN, MAX = -(2**63), 2**63 - 1
 Function = Callable[..., Column]
 #: (name, argument sorts) -> (function, result sort); "*" repeats the sort before it, "?" is any.
 TABLE: dict[str, list[tuple[tuple[str, ...], Function, str]]] = {}
+#: Sorts whose values take long to find: in a body, each is found once a match.
+COSTLY = {"BigRat"}
 
 
 def define(name: str, args: str, result: str, f: Function) -> None:
@@ -240,17 +242,40 @@ define("from-string", "String", "BigInt", lambda x: x.try_cast("decimal(38,0)"))
 
 # Rationals: struct<num,den>, reduced by Euclid's algorithm in SQL.
 
+WIDE = "decimal(38,0)"
+#: Numbers up to it are reduced as 64-bit ones.
+NARROW = 10**18
 
-def _gcd(a: Column, b: Column) -> Column:
-    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], F.when(s["b"] != 0, s["b"])).cast("decimal(38,0)").alias("b")))
-    start = F.struct(F.abs(a).cast("decimal(38,0)").alias("a"), F.abs(b).cast("decimal(38,0)").alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(185)), start, step, lambda s: s["a"])
+
+def _with_gcd(a: Column, b: Column, of: str, f: Callable[[Column], Column]) -> Column:
+    """``f`` of the greatest common divisor. By Lamé, a lesser number x takes no more than 1 + log(x) steps, to the base of the golden ratio."""
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).cast(of).alias("b")))
+    a, b = F.abs(a), F.abs(b)
+    steps = F.floor(F.log(F.greatest(F.least(a, b), F.lit(1).cast(of)).cast("double")) * 2.0781 + 1).cast("int")
+    start = F.struct(F.greatest(a, b).cast(of).alias("a"), F.least(a, b).cast(of).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: f(s["a"]))
+
+
+def _part(n: Column, g: Column) -> Column:
+    """``n / g`` where ``g`` divides ``n``: ``div`` gives 64 bits only, and a quotient of decimals 32 whole digits."""
+    tens = F.lit(10**18).cast(WIDE)
+    whole = lambda a, b: (a / b).cast(WIDE)
+    low = (n % tens).cast(WIDE)
+    high = whole((n - low).cast(WIDE), tens)
+    over = (high % g).cast(WIDE)
+    by_halves = (whole((high - over).cast(WIDE), g) * tens + whole((over * tens + low).cast(WIDE), g)).cast(WIDE)
+    return F.when(g == 1, n).when(g >= 10**6, whole(n, g)).otherwise(by_halves)
 
 
 def _ratio(n: Column, d: Column) -> Column:
-    g = _gcd(n, d)
-    sign = F.when(d < 0, -1).otherwise(1)
-    return F.when(d != 0, F.struct(F.call_function("div", n * sign, g).cast("decimal(38,0)").alias("num"), F.call_function("div", d * sign, g).cast("decimal(38,0)").alias("den")))
+    # Functions within functions are avoided: Python's can't take them as arguments.
+    def by(n: Column, d: Column, of: str, part: Function) -> Column:
+        signed = lambda x, g: part(F.when(d < 0, -x).otherwise(x).cast(of), g).cast(WIDE)
+        return _with_gcd(n, d, of, lambda g: F.struct(signed(n, g).alias("num"), signed(d, g).alias("den")))
+
+    short = [x.try_cast("long") for x in (n, d)]
+    narrow = short[0].between(-NARROW, NARROW) & short[1].between(-NARROW, NARROW) & (short[1] != 0)
+    return F.when(narrow, by(*short, "long", lambda a, g: F.call_function("div", a, g))).when((d != 0) & n.isNotNull(), by(n, d, WIDE, _part))
 
 
 define("bigrat", "BigInt BigInt", "BigRat", _ratio)

@@ -260,6 +260,10 @@ def evaluate(q: Query, frames: list[DataFrame], first: int | None = None, one_ro
                     df = df.where(c == literal(p.out))
                 elif p.out.name in have:
                     df = df.where(c == F.col(f"`{p.out.name}`"))
+                elif p.sort in scalar.COSTLY and p.name != "value":
+                    # No filter moves below a generator over what it makes, where it would find the value again for each use.
+                    df = df.select("*", F.explode(F.array_compact(F.array(c))).alias(p.out.name))
+                    have.add(p.out.name)
                 else:
                     df = df.withColumn(p.out.name, c).where(F.col(f"`{p.out.name}`").isNotNull())
                     have.add(p.out.name)

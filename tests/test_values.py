@@ -4,6 +4,7 @@ import math
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from rulespan.operators.program import Program
 
@@ -181,3 +182,22 @@ def test_big_numbers(spark):
         with pytest.raises(Exception, match="no result"):
             ok(spark, f"(relation q (BigRat)) (q {e})")
     ok(spark, "(relation q (i64 i64)) (q (ordering-min 4 9) (ordering-max 4 9)) (check (q 4 9))")
+
+
+def test_ratios_are_reduced_once_and_beyond_64_bits(spark, data):
+    """Of every length up to 34 digits, beyond which Spark's decimals aren't exact; Fibonacci numbers take the most steps."""
+    from rulespan.functions import scalar
+    from rulespan.plans.queries import QUERIES
+
+    plan = QUERIES["bigrat_ops"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    # Three ratios, each by 64 bits or by decimals.
+    assert 0 < plan.count("aggregate(") <= 6
+    fib = [1, 1]
+    while fib[-1] < 10**33:
+        fib.append(fib[-1] + fib[-2])
+    tops = [0, 1, 2, 6, 10**18 - 1, 10**18, 10**18 + 1, 2**63 - 1, 2**63, 10**33 + 7, 10**34 - 1]
+    cases = [(sign * n, d) for n in tops for d in (1, -2, 6, 7 * 10**17, 10**18, -(2**63), 10**34 - 1) for sign in (1, -1)]
+    cases += [*zip(fib, fib[1:]), *zip(fib[1:], fib), *((6 * n, 6 * (n + 1)) for n in fib), (5, 0), (0, 0)]
+    frame = spark.createDataFrame([(k, str(n), str(d)) for k, (n, d) in enumerate(cases)], "k long, n string, d string")
+    got = dict(frame.select("k", scalar.find("bigrat", ["BigInt", "BigInt"])[0](F.col("n").cast("decimal(38,0)"), F.col("d").cast("decimal(38,0)"))).collect())
+    assert [got[k] and (int(got[k].num), int(got[k].den)) for k in range(len(cases))] == [Fraction(n, d).as_integer_ratio() if d else None for n, d in cases]
