@@ -25,6 +25,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 # Arrays are exploded by explode_outer() where their expression is large: for explode(), Spark would
 # add a filter on the array's size and push it below the columns that the expression uses, and so
 # compute these again for every element.
@@ -172,14 +174,16 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, at_least:
     one id and different texts one together; a null id is an id like any other, and items likewise. Columns not
     named are ignored; an empty table gives none.
     """
-    parts = item_parts(items, item_col, item_text_col)
+    # What the items give is written: a plan over the documents that holds it all takes much of the driver's memory.
+    scratch = Scratch(spark, "items")
+    parts = scratch.put(item_parts(items, item_col, item_text_col), "parts")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     keyed = source.withColumn("key", F.xxhash64("text"))
     hashed = lambda df: df.withColumn("h", _hashes(words(F.col("text")))).withColumn("s", _shingles(F.col("h")))
 
     # Shared shingles: one row for each place of a document and shape of item: words of the part, of the item, place.
     shape = ["m", "whole", "at"]
-    wanted = _small(parts.select(*shape, F.explode("shingles").alias("x")).distinct())
+    wanted = _small(scratch.put(parts.select(*shape, F.explode("shingles").alias("x")).distinct(), "wanted"))
     places = hashed(keyed).select("doc_id", "key", F.posexplode_outer("s").alias("pos", "x"))
     seeds = places.join(wanted, "x").groupBy(F.col("doc_id").alias("seed_doc"), F.col("key").alias("seed_key"), *shape).agg(F.collect_set("pos").alias("seeds"))
 
@@ -207,11 +211,12 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, at_least:
 
     item = parts.withColumn("of", F.coalesce("all", "shingles")).join(_with_prefix(parts, Fraction(str(at_least))).withColumnRenamed("item_id", "of_id"), ["of"]).where(F.col("item_id").eqNullSafe(F.col("of_id")))
     item = item.select("item_id", "prefix", number(), F.col("whole").alias("item_whole"), F.col("shingles").alias("item_shingles"), F.col("of").alias("item_of"), _fingerprint([_counters(F.col("h"), k) for k in range(9)], F.lit(0), F.col("m")).alias("item_fp"))
+    item = scratch.put(item, "items")
     near = F.flatten(F.array(*[_neighbours(k, block, size) for k, (block, (_, size)) in enumerate(zip(_blocks(F.col("item_fp")), BLOCKS, strict=True))]))
     fixed = ["shape", "item_fp"]
     by_block = item.select(*fixed).distinct().withColumn("e", F.explode_outer(near)).select(door(F.col("e.block"), F.col("e.value")).alias("door"), *fixed)
     by_shingle = item.select(*fixed, F.explode("prefix").alias("value")).select(door(F.lit(BY_SHINGLE), F.col("value")).alias("door"), *fixed).distinct()
-    lookup = _small(by_block.unionByName(by_shingle)).withColumnRenamed("shape", "item_shape")
+    lookup = _small(scratch.put(by_block.unionByName(by_shingle), "lookup")).withColumnRenamed("shape", "item_shape")
 
     probe = lambda k, b: F.struct(F.lit(k).alias("block"), b.alias("value"))
     shorter = F.col("fp").isNull()

@@ -288,6 +288,14 @@ def test_decontamination_against_every_window(spark, data):
     assert any((10_000 + k * len(texts) - 1, 950) in got for k in range(1, 5))
 
 
+def test_decontamination_plans_once_what_items_give(spark, data, docs):
+    """Shapes, prints and neighbours of items are tables of their own, not parts of the plan over the documents."""
+    items = spark.read.parquet(f"{data}/benchmark.parquet")
+    plan = decontaminate.find_leaks(spark, docs, items)._jdf.queryExecution().executedPlan().toString()
+    print(plan.count("Exchange"), plan.count("Aggregate"), len(plan))
+    assert plan.count("Exchange") <= 16 and plan.count("Aggregate") <= 12
+
+
 def test_decontamination_of_odd_rows(spark, data):
     """Ties, empty tables on either side, clashing names; rows that share an id, or have none, are decided one by one."""
     items = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (None, None), (3, "")], "item_id long, text string").selectExpr("*", "1 as doc_id", "2 as m", "3 as start")
