@@ -11,7 +11,7 @@ by intersecting the sorted arrays.
 Classes of equal sets are held once. Each set is first compared with its hubs only; what these links join
 needs no further comparison. Sets of one tile that are still apart are compared pair by pair, in tiles of
 bounded size: first a few pairs between any two components, which joins most of those that are one, then
-all pairs that are left. So no link between different sets is lost, though links inside a component need
+all pairs that are left in tiles of hubs where pairs were held back. So no link between different sets is lost, though links inside a component need
 not all be listed.
 """
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, least_nodes
 from ..session import Scratch
 from . import _text
 from ._spread import join_spread
@@ -42,6 +42,10 @@ FEW = 4
 PAIRS_KEPT = 250_000
 #: A shingle in so many documents of one slice is reported; so many in all make it common.
 REPORTED, COMMON = 3, 24
+#: Links up to which components are found by the driver, 16 bytes each; more go through rounds of joins.
+FEW_LINKS = 100_000
+#: Pairs up to which the ids of their documents are broadcast; of more, the texts are shuffled.
+FEW_PAIRS = 1_000_000
 #: Common shingles that are put last at most. Any order gives the same links; others stay in place.
 COMMON_KEPT = 300_000
 
@@ -75,8 +79,8 @@ def second_signature(values: np.ndarray) -> int:
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """A bit for each shingle, in four to eight times as many bits as there are shingles; as bytes."""
-    bits = 64 << max(0, (4 * len(values) - 1).bit_length() - 6)
+    """A bit for each shingle, in two to four times as many bits as there are shingles; as bytes."""
+    bits = 64 << max(0, (2 * len(values) - 1).bit_length() - 6)
     out = np.zeros(bits, np.uint8)
     out[(values & _text.U64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little")
@@ -207,8 +211,6 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
     shared = given.repartition("token").distinct().withColumns({"hub": F.min("sig").over(holders), "most": F.max("sig").over(holders)}).where("hub < most")
     tiles = scratch.put(shared.select("hub", "sig", "band").distinct(), "tiles")
 
-    owner = members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _text.column(batch, 0)
@@ -220,9 +222,9 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                     names=["sig", "shingles"],
                 )
 
-    # What bounds the overlap of the sets that meet any other.
+    # What bounds the overlap of the sets that meet any other, and the document that gives such a set.
     met = tiles.select("sig").distinct()
-    size = seen.where("is_doc and sig is not null").select("sig", "n", "bits").dropDuplicates(["sig"]).join(met, "sig", "left_semi")
+    size = seen.where("is_doc and sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc")).join(met, "sig", "left_semi")
     size = scratch.put(size, "sizes")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +232,7 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
             na, nb = batch.column(2).to_pylist(), batch.column(4).to_pylist()
             ba, bb = batch.column(3).to_pylist(), batch.column(5).to_pylist()
             ok = [sim.linked(min(x, y), x, y) and sim.linked(bound(x, np.frombuffer(p, np.uint8), y, np.frombuffer(q, np.uint8)), x, y) for x, y, p, q in zip(na, nb, ba, bb, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 1, 6, 7)], names=["a", "b", "a_doc", "b_doc"]).filter(pa.array(ok, pa.bool_()))
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,23 +245,31 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
         return df.select(F.col("sig").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in df.columns[1:]])
 
     def decide(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that link. Sorted arrays are made only for sets of pairs that the bound left, from their least document."""
-        pairs = scratch.put(pairs, f"{name}-bounded")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(owner, "sig").select("doc_id").distinct()
-        nameless = source.where("doc_id is null and text is not null").select("text").distinct()
-        chosen = source.join(wanted, "doc_id", "left_semi").select("text").unionByName(nameless)
+        """The pairs that link, of written ones. Sorted arrays are made only for sets of pairs that the bound left, from their least document."""
+        wanted = pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("doc_id")).distinct()
+        if pairs.count() <= FEW_PAIRS:
+            wanted = F.broadcast(wanted)
+        nameless = source.where("doc_id is null and text is not null").select("text")
+        chosen = source.join(wanted, "doc_id", "left_semi").select("text").unionByName(nameless).distinct()
         body = scratch.put(chosen.mapInArrow(_text.tidy(sets), "sig long, shingles binary"), f"{name}-sets")
-        full = pairs.join(side(body, "a"), "a").join(side(body, "b"), "b").select("a", "b", "a_shingles", "b_shingles")
-        linked = scratch.put(full.mapInArrow(_text.tidy(decided), "a long, b long").distinct(), name)
+        full = pairs.select("a", "b").join(side(body, "a"), "a").join(side(body, "b"), "b").select("a", "b", "a_shingles", "b_shingles")
+        linked = scratch.put(full.mapInArrow(_text.tidy(decided), "a long, b long"), name)
         scratch.drop(f"{name}-sets")
         return linked
 
     star = tiles.where("sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b"))
-    star = star.join(side(size, "a"), "a").join(side(size, "b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits").mapInArrow(_text.tidy(bounded), "a long, b long")
-    links = decide(star, "star")
-    joined = scratch.put(connected_components(spark, links), "joined")
+    star = star.join(side(size, "a"), "a").join(side(size, "b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits", "a_doc", "b_doc").mapInArrow(_text.tidy(bounded), "a long, b long, a_doc long, b_doc long")
+    links = decide(scratch.put(star, "star-bounded"), "star")
+
+    def components(links: DataFrame, name: str) -> DataFrame:
+        if links.count() > FEW_LINKS:
+            return scratch.put(connected_components(spark, links), name)
+        node, root = least_nodes(*(c.to_numpy() for c in links.toArrow().columns))
+        return scratch.put(spark.createDataFrame(pa.table({"node": pa.array(node, pa.int64()), "root": pa.array(root, pa.int64())})), name)
 
-    def in_tiles(joined: DataFrame, name: str) -> DataFrame:
+    joined = components(links, "joined")
+
+    def in_tiles(tiles: DataFrame, joined: DataFrame, name: str) -> DataFrame:
         """Rows of the tiles whose sets are still apart; each pair of bands and parts is one tile of bounded size."""
         rows = tiles.join(joined.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         # A set stands in its own band's tile, and in the next band's as the smaller side.
@@ -270,18 +280,22 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
         rows = rows.join(mixed, ["hub", "band"]).withColumn("part", F.pmod(F.xxhash64("sig", "hub"), F.col("parts")).cast("int"))
         others = F.sequence(F.lit(0), F.col("parts") - 1)
         # Parts i of the larger side meet parts j of either.
-        rows = rows.withColumn("other", F.explode(others))
-        rows = rows.withColumn("i", F.when(F.col("low") == 0, F.col("part")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("low") == 0, F.col("other")).otherwise(F.col("part")))
-        own_too = rows.where("low = 0 and other < part").select("hub", "sig", "root", "band", "low", F.col("other").alias("i"), F.col("part").alias("j"), F.lit(True).alias("right"))
-        rows = rows.select("hub", "sig", "root", "band", "low", "i", "j", (F.col("low") == 1).alias("right")).unionByName(own_too)
-        filled = rows.join(size.select("sig", "n", "bits"), "sig")
+        place = lambda i, j, right: F.struct(i.alias("i"), j.alias("j"), F.lit(right).alias("right"))
+        larger = F.concat(F.transform(others, lambda o: place(F.col("part"), o, False)), F.transform(F.filter(others, lambda o: o < F.col("part")), lambda o: place(o, F.col("part"), True)))
+        rows = rows.withColumn("at", F.explode(F.when(F.col("low") == 0, larger).otherwise(F.transform(others, lambda o: place(o, F.col("part"), True)))))
+        rows = rows.select("hub", "sig", "root", "band", "at.i", "at.j", "at.right")
+        filled = rows.join(size, "sig")
         lanes = filled.repartition("hub", "band", "i", "j").sortWithinPartitions("hub", "band", "i", "j", "right")
-        return lanes.select("hub", "band", "i", "j", "right", "sig", "root", "n", "bits")
+        return lanes.select("hub", "band", "i", "j", "right", "sig", "root", "n", "bits", "doc")
 
     def compare(batches: Iterator[pa.RecordBatch], few: int | None = None) -> Iterator[pa.RecordBatch]:
-        """Pairs of one tile that the bound leaves, between sets that are still apart; with ``few``, only so many of two components."""
-        tile, left, right = None, [], []
-        given: set[tuple[int, int]] = set()
+        """Pairs of one tile that the bound leaves, between sets that are still apart, and their documents.
+
+        With ``few``, only so many of two components; a hub of which pairs were held back comes as a row with a null ``b``.
+        """
+        tile, left, right, docs = None, [], [], {}
+        given: set[tuple] = set()
+        held: set[int] = set()
         between: dict[tuple[int, int], int] = {}
 
         def wanted(p: int, q: int) -> bool:
@@ -289,6 +303,8 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
                 return True
             key = (p, q) if p < q else (q, p)
             between[key] = between.get(key, 0) + 1
+            if between[key] > few:
+                held.add(tile[0])
             return between[key] <= few
 
         def blocks(rows: list) -> list[tuple[np.ndarray, ...]]:
@@ -315,34 +331,44 @@ def link_components(spark: SparkSession, docs: DataFrame, at_least: Fraction = F
             on = on[most * (sim.den + sim.num) >= sim.num * (n + x[2])]
             return [y for y, root in zip(sigs[on].tolist(), roots[on].tolist(), strict=True) if wanted(x[1], root)]
 
-        def pairs() -> list[tuple[int, int]]:
+        def pairs() -> list[tuple[int, int, int | None, int | None]]:
             same = tile is not None and tile[2] == tile[3]
             inner, outer = blocks(left) if same else [], blocks(right) if left else []
             # Of pairs inside a tile each is met from both sides; the one with the lesser set first counts.
             out = [(x[0], y) for x in left for block in inner for y in against(x, block, x[0])]
-            return out + [(min(x[0], y), max(x[0], y)) for x in left for block in outer for y in against(x, block)]
+            out += [(min(x[0], y), max(x[0], y)) for x in left for block in outer for y in against(x, block)]
+            return [(x, y, docs[x], docs[y]) for x, y in out]
 
-        def listed(found: set[tuple[int, int]]) -> pa.RecordBatch:
+        def listed(found: set[tuple[int, int, int | None, int | None]]) -> pa.RecordBatch:
             found -= given
             if len(given) < PAIRS_KEPT:
                 given.update(found)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
+            rows = [*found, *((hub, None, None, None) for hub in held)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([],) * 4)], names=["a", "b", "a_doc", "b_doc"])
 
         for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for hub, band, i, j, is_right, sig, root, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found: set[tuple[int, int, int | None, int | None]] = set()
+            for hub, band, i, j, is_right, sig, root, n, bits, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if tile != (hub, band, i, j):
                     found.update(pairs())
-                    tile, left, right = (hub, band, i, j), [], []
+                    tile, left, right, docs = (hub, band, i, j), [], [], {}
+                docs[sig] = doc
                 (right if is_right else left).append((sig, root, n, np.frombuffer(bits, np.uint8)))
             yield listed(found)
         yield listed(set(pairs()))
 
     for name, few in (("few", FEW), ("all", None)):
-        left_over = in_tiles(joined, name).mapInArrow(_text.tidy(partial(compare, few=few)), "a long, b long").distinct()
-        links = links.unionByName(decide(left_over, name))
-        joined = scratch.put(connected_components(spark, links), f"joined-{name}")
+        met = in_tiles(tiles, joined, name).mapInArrow(_text.tidy(partial(compare, few=few)), "a long, b long, a_doc long, b_doc long").distinct()
+        met = scratch.put(met, f"{name}-bounded")
+        links = links.unionByName(decide(met.where("b is not null"), name))
+        joined = components(links, f"joined-{name}")
         scratch.drop(f"{name}-apart")
+        # Where no pair was held back, all have been given.
+        held = met.where("b is null").select(F.col("a").alias("hub")).distinct()
+        if not held.take(1):
+            break
+        tiles = tiles.join(held, "hub", "left_semi")
     roots = joined
 
     # Least ids are found for classes; a class or component of a third of all rows is joined without one task for it.

@@ -12,6 +12,8 @@ import pytest
 
 queries = pytest.importorskip("rulespan.llm.queries")
 from rulespan.llm import _spread, decontaminate, jaccard_join, language_id, packing, secret_scan, sharding, substring_dedup, token_counts, topk, warc  # noqa: E402
+from rulespan.operators.components import least_nodes  # noqa: E402
+from rulespan.session import Scratch  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", None, "one", "a b c", " \n\t ", "a a a a a a a a a a a a a a a a a a a a a a a a a a", "x\x1cy z   w\n\n \n end ", "don't <|endoftext|> stop's", "Élan ÉTÉ 中文 ́x \x00nul", "p" * 3000, " lead", "trail \n"]
@@ -216,6 +218,44 @@ def test_jaccard_join_in_small_tiles(spark, monkeypatch):
     assert Counter(map(tuple, jaccard_join.link_components(spark, frame, signature_bits=4).collect())) == want
 
 
+def test_jaccard_join_writes_few_tables(spark, monkeypatch):
+    """Rounds of joins only where links are many; pairs are given again only where some were held back."""
+    rng = np.random.default_rng(4)
+    base = [f"b{k}" for k in range(40)]
+    rows = []
+    for c in range(40):
+        w = list(base)
+        for j in rng.choice(40, 1 + c % 3, replace=False):
+            w[j] = f"z{c}x{j}"
+        rows.append((c, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want, written, put = brute_components(rows), [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name: written.append(name) or put(self, df, name))
+
+    def run():
+        written.clear()
+        assert Counter(map(tuple, jaccard_join.link_components(spark, frame).collect())) == want
+        return list(written)
+
+    monkeypatch.setattr(jaccard_join, "FEW", 1_000_000)
+    assert "few" in (once := run()) and "all" not in once and len(once) <= 16
+    monkeypatch.setattr(jaccard_join, "FEW", 1)
+    assert "all" in (twice := run()) and len(twice) <= 22
+    monkeypatch.setattr(jaccard_join, "FEW_LINKS", 0)
+    assert "round1" in run()
+
+
+def test_least_nodes_of_edges():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 60, 400):
+        a, b = rng.integers(-n, n + 1, n), rng.integers(-n, n + 1, n)
+        root = {x: x for x in [*a.tolist(), *b.tolist()]}
+        for _ in range(n):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                root[x] = root[y] = min(root[x], root[y])
+        assert dict(zip(*(x.tolist() for x in least_nodes(a, b)), strict=True)) == root
+
+
 def test_bitmap_bounds_from_above():
     rng = np.random.default_rng(5)
     for _ in range(200):
